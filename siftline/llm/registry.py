@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import exact_dedup
+from . import exact_dedup, near_dedup
 
 QUERIES = {
+    "op3_near_dedup": near_dedup.op3_near_dedup,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
 }
 ORACLE_SQL = {
+    "op3_near_dedup": near_dedup.SQL,
     "op4_exact_dedup": exact_dedup.SQL,
 }
