@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, near_dedup
+from . import exact_dedup, near_dedup, packing
 
 QUERIES = {
     "op3_near_dedup": near_dedup.op3_near_dedup,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
+    "op7_best_fit_packing": packing.op7_best_fit_packing,
 }
 ORACLE_SQL = {
     "op3_near_dedup": near_dedup.SQL,
