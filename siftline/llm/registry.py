@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, near_dedup, packing
+from . import exact_dedup, near_dedup, packing, quality_rules
 
 QUERIES = {
+    "op1_quality_rules": quality_rules.op1_quality_rules,
     "op3_near_dedup": near_dedup.op3_near_dedup,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
     "op7_best_fit_packing": packing.op7_best_fit_packing,
