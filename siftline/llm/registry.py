@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, near_dedup, packing, quality_rules
+from . import exact_dedup, near_dedup, packing, quality_rules, warc
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
     "op3_near_dedup": near_dedup.op3_near_dedup,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
     "op7_best_fit_packing": packing.op7_best_fit_packing,
+    "op9_warc_revisits": warc.op9_warc_revisits,
 }
 ORACLE_SQL = {
     "op3_near_dedup": near_dedup.SQL,
     "op4_exact_dedup": exact_dedup.SQL,
+    "op9_warc_revisits": warc.SQL,
 }
