@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, near_dedup, packing, quality_rules, warc
+from . import exact_dedup, near_dedup, packing, quality_rules, substring_dedup, warc
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
     "op3_near_dedup": near_dedup.op3_near_dedup,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
     "op7_best_fit_packing": packing.op7_best_fit_packing,
+    "op8_substring_dedup": substring_dedup.op8_substring_dedup,
     "op9_warc_revisits": warc.op9_warc_revisits,
 }
 ORACLE_SQL = {
     "op3_near_dedup": near_dedup.SQL,
     "op4_exact_dedup": exact_dedup.SQL,
+    "op8_substring_dedup": substring_dedup.SQL,
     "op9_warc_revisits": warc.SQL,
 }
