@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, near_dedup, packing, quality_rules, substring_dedup, warc
+from . import exact_dedup, language_id, near_dedup, packing, quality_rules, substring_dedup, warc
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
     "op3_near_dedup": near_dedup.op3_near_dedup,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
+    "op6_language_id": language_id.op6_language_id,
     "op7_best_fit_packing": packing.op7_best_fit_packing,
     "op8_substring_dedup": substring_dedup.op8_substring_dedup,
     "op9_warc_revisits": warc.op9_warc_revisits,
