@@ -199,10 +199,13 @@ def _prefix_pairs(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     # a shingle of one document pairs with nothing, but takes a place of the prefix
     ranked = held.join(often, "s", "left").withColumn("f", F.coalesce("f", F.lit(1))).withColumn("at", F.row_number().over(W.partitionBy("doc_id").orderBy("f", "s")))
     prefix = ranked.where((F.col("at") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1) & (F.col("f") > 1))
-    prefix = settle(prefix.select("s", "doc_id", "n", "component"), "prefix")
-    x = prefix.select("s", F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"))
-    y = prefix.select("s", F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
-    return x.join(y, "s").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _near_sizes("na", "nb", percent)).select("a", "b").distinct()
+    prefix = settle(prefix.select("s", "doc_id", "n", "component", "at"), "prefix")
+    x = prefix.select("s", F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"), F.col("at").alias("pa"))
+    y = prefix.select("s", F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"), F.col("at").alias("pb"))
+    # at the first shingle that two similar sets share, enough is left behind it in both
+    need = F.col("na") + F.col("nb")
+    enough = ((100 + percent) * (F.col("na") - F.col("pa") + 1) >= percent * need) & ((100 + percent) * (F.col("nb") - F.col("pb") + 1) >= percent * need)
+    return x.join(y, "s").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _near_sizes("na", "nb", percent) & enough).select("a", "b").distinct()
 
 
 def op3_near_dedup(spark, sf_dir: str) -> DataFrame:
