@@ -56,11 +56,20 @@ def semi(big: DataFrame, keys: DataFrame, on: str, n_keys: int, key_bytes: int =
     return big.join(keys, on, "left_semi")
 
 
+def small_batches(spark: SparkSession, rows: int = 1000, size: str = "8m") -> None:
+    """Bound the Arrow batches that go to Python, by rows and bytes, where the session still has Spark's defaults: a batch is
+    held several times on its way."""
+    for key, default, value in (("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", str(rows)), ("spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", size)):
+        if spark.conf.get(key) == default:
+            spark.conf.set(key, value)
+
+
 def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
 def as_documents(docs: DataFrame, columns: dict[str, str]) -> DataFrame:
     """Only the named columns, cast; a missing one is null.  Extra columns, whatever their names, are left behind."""
+    small_batches(docs.sparkSession)
     have = set(docs.columns)
     return docs.select(*(docs[c].cast(t).alias(c) if c in have else F.lit(None).cast(t).alias(c) for c, t in columns.items()))

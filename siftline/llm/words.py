@@ -12,8 +12,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-PIECE = 1 << 20
-CHUNK = 4 << 20
+PIECE = 1 << 18
+CHUNK = 1 << 20
 _U = np.uint64
 _MUL = 0x9E3779B97F4A7C15 | 1
 
