@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, language_id, near_dedup, packing, quality_rules, substring_dedup, warc
+from . import exact_dedup, language_id, near_dedup, packing, quality_rules, substring_dedup, toxicity, warc
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
+    "op2_toxicity": toxicity.op2_toxicity,
     "op3_near_dedup": near_dedup.op3_near_dedup,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
     "op6_language_id": language_id.op6_language_id,
