@@ -13,8 +13,10 @@ of their own; an empty table gives an empty result; extra columns are ignored.
 
 from __future__ import annotations
 
+import os
 import zlib
 from bisect import bisect_left, insort
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -34,27 +36,62 @@ def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+PUNCT = ".,;:!?"
+
+
+def _byte_letters() -> dict[int, str]:
+    """Byte-level BPE writes a byte as a character: itself where it prints, else the next character from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in set(plain)]
+    return {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
 class WordEncoder:
     """Token ids of whole chunks through a table of word encodings.
 
-    The tokenizer drops white space and never joins what white space separates, so a text's ids are those of its
-    words in turn; each distinct word is encoded once a task.  The table is emptied beyond ``most`` words.
+    The tokenizer lower-cases, drops white space and never joins what white space separates, so a text's ids are those
+    of its words in turn; each distinct word is encoded once a task.  Words of Latin letters with closing punctuation go
+    straight to the BPE model, which then sees what the full path would give it; all others take the full path.  The
+    table is emptied beyond ``most`` words.
     """
 
     def __init__(self, path: str, most: int = 1 << 20):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tok, self.most = Tokenizer.from_file(path), most
+        self.model, self.map, self.ends = self.tok.model, _byte_letters(), {}
         self._empty()
 
     def _empty(self) -> None:
         self.keys, self.first, self.size, self.flat = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
+    def _fast(self, word: str) -> list[int] | None:
+        core = word.rstrip(PUNCT)
+        if not core.isalpha() or not (core.isascii() or (max(core) < "\u0180" and "\u0130" not in core)):
+            return None
+        end = word[len(core) :]
+        if end and end not in self.ends:
+            if len(self.ends) > 10_000:
+                self.ends = {}
+            self.ends[end] = [t.id for t in self.model.tokenize(end)]
+        text = core.lower()
+        if not text.isascii():
+            text = text.encode().decode("latin-1").translate(self.map)
+        ids = [t.id for t in self.model.tokenize(text)]
+        return ids + self.ends[end] if end else ids
+
     def _learn(self, keys: np.ndarray, words: list[bytes]) -> None:
-        got = [e.ids for e in self.tok.encode_batch([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)]
+        words = [w.decode("utf-8", "replace") for w in words]
+        got = [self._fast(w) for w in words]
+        slow = [i for i, g in enumerate(got) if g is None]
+        for k in range(0, len(slow), 4096):
+            some = slow[k : k + 4096]
+            for i, e in zip(some, self.tok.encode_batch_fast([words[i] for i in some], add_special_tokens=False), strict=True):
+                got[i] = e.ids
         size = np.fromiter(map(len, got), np.int64, len(got))
         first = len(self.flat) + np.cumsum(size) - size
-        self.flat = np.concatenate([self.flat, np.fromiter((i for g in got for i in g), np.uint32, int(size.sum()))])
+        self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(got), np.uint32, int(size.sum()))])
         keys = np.concatenate([self.keys, keys])
         order = np.argsort(keys, kind="stable")
         self.keys, self.first, self.size = keys[order], np.concatenate([self.first, first])[order], np.concatenate([self.size, size])[order]
@@ -62,7 +99,7 @@ class WordEncoder:
     def encode(self, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a chunk's documents in turn, and how many each has."""
         starts, ends, counts = word_spans(buf, off)
-        uniq, at, back = np.unique(word_hashes(buf, starts, ends), return_index=True, return_inverse=True)
+        uniq, at, back = np.unique(word_hashes(buf, starts, ends, lower=True), return_index=True, return_inverse=True)
         if len(self.keys) > self.most:
             self._empty()
         spot = np.searchsorted(self.keys, uniq)
