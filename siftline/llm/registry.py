@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, language_id, near_dedup, packing, quality_rules, substring_dedup, toxicity, warc
+from . import exact_dedup, language_id, mixing, near_dedup, packing, quality_rules, substring_dedup, toxicity, warc
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
@@ -13,6 +13,7 @@ QUERIES = {
     "op7_best_fit_packing": packing.op7_best_fit_packing,
     "op8_substring_dedup": substring_dedup.op8_substring_dedup,
     "op9_warc_revisits": warc.op9_warc_revisits,
+    "op10_mixing": mixing.op10_mixing,
 }
 ORACLE_SQL = {
     "op3_near_dedup": near_dedup.SQL,
