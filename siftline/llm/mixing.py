@@ -121,7 +121,7 @@ def fit_rates(table: DataFrame, targets: dict[str, float], rounds: int = 30, clo
 
 def mix(docs: DataFrame, labels: DataFrame, shares: dict[str, float] | None = None, most: float = MOST, snap: float = 0.1) -> DataFrame:
     """doc_id, salt, n_tokens, posteriors, rate and copies.  The mix is as large as the expected clean tokens divided by the
-    clean share.  ``copies`` rounds a rate up or down by the row's hash, so that expected totals hold; rates within ``snap`` of a whole
+    clean share; a domain that has less than its share keeps what it has, as repeating its few documents would only copy them.  ``copies`` rounds a rate up or down by the row's hash, so that expected totals hold; rates within ``snap`` of a whole
     number are that number, so that what is to stay as it is stays.  (The pipeline rounds to the nearest whole number
     instead, so that what is likelier clean than not stays.)"""
     shares = shares or TARGETS
@@ -132,9 +132,10 @@ def mix(docs: DataFrame, labels: DataFrame, shares: dict[str, float] | None = No
         flat = [F.lit(float(k == 0)).alias(f"p_{d}") for k, d in enumerate(DOMAINS)]
         return docs.select("doc_id", F.xxhash64("doc_id", "text").alias("salt"), words.cast("long").alias("n_tokens"), *flat, F.lit(1.0).alias("rate"), F.lit(1).alias("copies"))
     table = settle(table, "posteriors")
-    clean = table.agg(F.sum(F.col("n_tokens") * F.col(f"p_{DOMAINS[0]}"))).first()[0] or 0.0
-    total = clean / shares[DOMAINS[0]]
-    steps = fit_rates(table, {d: total * shares[d] for d in DOMAINS})
+    have = table.agg(*(F.sum(F.col("n_tokens") * F.col(f"p_{d}")).alias(d) for d in DOMAINS)).first().asDict()
+    have = {d: have[d] or 0.0 for d in DOMAINS}
+    total = have[DOMAINS[0]] / shares[DOMAINS[0]]
+    steps = fit_rates(table, {d: min(total * shares[d], have[d]) for d in DOMAINS}, most=most)
     whole = F.round("rate")
     draw = F.pmod(F.col("salt"), F.lit(1 << 20)) / (1 << 20)
     copies = F.when(F.abs(F.col("rate") - whole) <= snap, whole).otherwise(F.floor(F.col("rate") + draw))
