@@ -1,12 +1,66 @@
-"""Corpus cleaning pipeline; STAGES are run in order, each over what the one before kept."""
+"""Corpus cleaning pipeline: STAGES run in order, each over what the one before kept.
+
+Every stage takes (spark, docs, sf_dir).  All but the last return rows of ``docs`` with all its columns; the last
+returns packed pieces.  Decisions are looked up by doc_id, so rows that repeat an id stand or fall together, and the exact
+dedup stage leaves one of them.  The first stage drops rows whose doc_id is null, as nothing can be decided about them.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from siftline.llm.common import BROADCAST_BYTES, settle
+from siftline.llm.exact_dedup import exact_dedup
+from siftline.llm.mixing import mix
+from siftline.llm.near_dedup import near_dedup
+from siftline.llm.packing import pack_documents
+from siftline.llm.quality_rules import quality_rules
+
+
+def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """Rows of ``docs`` whose doc_id is not in ``gone``.  Few ids are broadcast; more are joined by a shuffle."""
+    gone = settle(gone.select("doc_id").distinct(), "gone")
+    return docs.join(F.broadcast(gone) if gone.count() * 16 <= BROADCAST_BYTES else gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules keep."""
+    docs = docs.where("doc_id IS NOT NULL")
+    return _without(docs, quality_rules(docs).where("NOT kept"))
+
+
+def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each set of equal texts, and one row of each id."""
+    found = settle(exact_dedup(docs), "exact")
+    out = _without(docs, found.where("NOT kept"))
+    twice = settle(found.where("kept").groupBy("doc_id").count().where("count > 1").select("doc_id"), "twice")
+    if not twice.limit(1).count():
+        return out
+    return _without(out, twice).union(out.join(twice, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"]))
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each group of near copies."""
+    return _without(docs, near_dedup(docs).where("NOT kept"))
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as their rate says, to the nearest whole number."""
+    rates = mix(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    times = settle(rates.groupBy("doc_id").agg(F.max(F.round("rate")).cast("int").alias("times")).where("times <> 1"), "times")
+    times = F.broadcast(times) if times.count() * 20 <= BROADCAST_BYTES else times
+    out = docs.join(times, "doc_id", "left").withColumn("times", F.coalesce("times", F.lit(1)))
+    return out.where("times > 0").select(*docs.columns, F.explode(F.array_repeat(F.lit(0), F.col("times"))).alias("copy")).drop("copy")
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sequences of at most 4096 tokens; one row a piece of a document."""
+    return pack_documents(docs).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
-from siftline.llm.common import settle
 
-STAGES: list = []
+STAGES = [("quality_rules", quality), ("exact_dedup", exact), ("near_dedup", near), ("mixing", mixing), ("packing", packing)]
+#: Rates come from a fitted classifier and places from a search, which SQL can't express; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
