@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, language_id, mixing, near_dedup, packing, quality_rules, substring_dedup, toxicity, warc
+from . import exact_dedup, language_id, mixing, near_dedup, packing, quality_lm, quality_rules, substring_dedup, toxicity, warc
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
     "op2_toxicity": toxicity.op2_toxicity,
     "op3_near_dedup": near_dedup.op3_near_dedup,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
+    "op5_quality_classifier": quality_lm.op5_quality_classifier,
     "op6_language_id": language_id.op6_language_id,
     "op7_best_fit_packing": packing.op7_best_fit_packing,
     "op8_substring_dedup": substring_dedup.op8_substring_dedup,
