@@ -11,10 +11,12 @@ import json
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .classify import boundary, has, is_json_object, member, noise_name, sensitive_name
 from .urls import bad_escape, content_flags, header_value, query_pairs
 
+LEAVES = T.ArrayType(T.StructType([T.StructField(n, T.IntegerType() if n == "sample_length" else T.StringType()) for n in ("root", "path", "type", "sample_length")]))
 PARAMETER = "array<struct<source:string,path:string,type:string,sample_length:int,eligible:boolean>>"
 
 
@@ -92,7 +94,7 @@ def _leaves(value, prefix: str, out: list) -> None:
             out.append((path, "string", len(v.encode("utf-8", "replace"))))
 
 
-@F.pandas_udf("array<struct<root:string,path:string,type:string,sample_length:int>>")
+@F.pandas_udf(LEAVES)
 def json_leaves(bodies: pd.Series) -> pd.Series:
     """Leaves below ``json`` of each body, then those of GraphQL variables; null where the body is not JSON."""
 

@@ -8,6 +8,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from .classify import SENSITIVE_PARTS, SENSITIVE_WORDS, sensitive_name
 from .urls import part, parses, path, query_pairs
@@ -67,7 +68,7 @@ def _walk(value):
     return [_walk(v) for v in value] if isinstance(value, list) else value
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def redact_json(bodies: pd.Series) -> pd.Series:
     """JSON with sensitive members replaced at any depth, keys sorted; null where the body is not JSON."""
 
