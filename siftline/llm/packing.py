@@ -14,6 +14,8 @@ of their own; an empty table gives an empty result; extra columns are ignored.
 from __future__ import annotations
 
 import os
+import sys
+import types
 import zlib
 from bisect import bisect_left, insort
 from itertools import chain
@@ -55,7 +57,7 @@ class WordEncoder:
     table is emptied beyond ``most`` words.
     """
 
-    def __init__(self, path: str, most: int = 1 << 20):
+    def __init__(self, path: str, most: int = 3 << 19):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -92,9 +94,8 @@ class WordEncoder:
         size = np.fromiter(map(len, got), np.int64, len(got))
         first = len(self.flat) + np.cumsum(size) - size
         self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(got), np.uint32, int(size.sum()))])
-        keys = np.concatenate([self.keys, keys])
-        order = np.argsort(keys, kind="stable")
-        self.keys, self.first, self.size = keys[order], np.concatenate([self.first, first])[order], np.concatenate([self.size, size])[order]
+        at = np.searchsorted(self.keys, keys)  # both are sorted
+        self.keys, self.first, self.size = np.insert(self.keys, at, keys), np.insert(self.first, at, first), np.insert(self.size, at, size)
 
     def encode(self, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a chunk's documents in turn, and how many each has."""
@@ -117,11 +118,19 @@ class WordEncoder:
         return ids, np.diff(edge)
 
 
+def worker_encoder(path: str) -> WordEncoder:
+    """The encoder of this Python process, which keeps its words from one task to the next."""
+    kept = sys.modules.setdefault("_siftline_encoders", types.ModuleType("_siftline_encoders")).__dict__
+    if path not in kept:
+        kept[path] = WordEncoder(path)
+    return kept[path]
+
+
 def _pieces(path: str, size: int, end: int, with_ids: bool):
     """Cut each document's ids into pieces of at most ``size``."""
 
     def run(batches):
-        enc = WordEncoder(path)
+        enc = worker_encoder(path)
         for batch in batches:
             docs = batch.column(0)
             for lo, hi, buf, off in text_chunks(batch.column(1)):

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import as_documents, semi, settle
-from .packing import WordEncoder, vocabulary_path
+from .packing import vocabulary_path, worker_encoder
 from .words import text_chunks
 
 BLOCK = 4 << 20
@@ -36,7 +36,7 @@ _HALF = np.uint64(32)
 
 def _blocks(batches, path: str, limit: int, column: int):
     """Yield (row positions of the batches' documents, token ids, tokens per document) for runs of about ``limit`` tokens."""
-    enc = WordEncoder(path)
+    enc = worker_encoder(path)
     rows: list = []
     ids: list = []
     counts: list = []
@@ -96,7 +96,7 @@ def _packed(path: str):
         part = TaskContext.get().partitionId()
         for k, (rows, ids, counts) in enumerate(_blocks(batches, path, BLOCK, 1)):
             table = pa.Table.from_batches(rows).select([0, 2]).combine_chunks()
-            blob = zstandard.ZstdCompressor(level=6).compress(ids.astype("<u4" if ids.dtype != np.uint16 else "<u2").tobytes())
+            blob = zstandard.ZstdCompressor(level=9).compress(ids.astype("<u4" if ids.dtype != np.uint16 else "<u2").tobytes())
             one = lambda c: pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), c)
             yield pa.RecordBatch.from_arrays(
                 [pa.array([part << 24 | k]), one(table.column(0).combine_chunks()), one(table.column(1).combine_chunks()), one(pa.array(counts.astype(np.int32))), pa.array([ids.dtype.itemsize], pa.int32()), pa.array([blob], pa.binary())],
