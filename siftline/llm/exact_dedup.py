@@ -36,7 +36,7 @@ def _filters(blocks: int):
         order = np.argsort(block, kind="stable")
         fps, block = fps[order], block[order]
         cuts = np.flatnonzero(np.r_[True, block[1:] != block[:-1]]) if len(fps) else []
-        for a, b in zip(cuts, [*cuts[1:], len(fps)], strict=True):
+        for a, b in zip(cuts, [*cuts[1:], len(fps)], strict=False):
             data = CountingQuotientFilter.of(fps[a:b]).to_bytes()
             yield pa.RecordBatch.from_arrays([pa.array([int(block[a])], pa.int64()), pa.array([data], pa.binary())], ["block", "filter"])
 
