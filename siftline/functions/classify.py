@@ -29,8 +29,7 @@ def has(text: Column, *parts: str) -> Column:
 
 
 def noise_name(name: Column) -> Column:
-    n = F.regexp_replace(F.lower(name), r"^query\.", "")
-    return n.isin(NOISE) | n.startswith("utm_")
+    return F.lower(name).rlike(rf"^(query\.)?(({'|'.join(NOISE)})\z|utm_)")
 
 
 def sensitive_name(name: Column) -> Column:
@@ -38,7 +37,7 @@ def sensitive_name(name: Column) -> Column:
     n = F.regexp_replace(F.trim(name), "([a-z0-9])([A-Z])", "$1_$2")
     n = F.lower(F.translate(n, "- .[]", "____"))
     n = F.regexp_replace(F.regexp_replace(n, r"^_+|_+\z", ""), "^x_", "")
-    return F.arrays_overlap(F.split(n, "_"), F.array(*map(F.lit, SENSITIVE_WORDS))) | has(n, *SENSITIVE_PARTS)
+    return n.rlike(rf"(^|_)({'|'.join(SENSITIVE_WORDS)})(_|\z)|{'|'.join(SENSITIVE_PARTS)}")
 
 
 def meaningful_query(pairs: Column) -> Column:

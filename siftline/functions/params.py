@@ -24,7 +24,7 @@ def infer_type(v: Column) -> Column:
     """boolean, integer (fits 64 bits), number or string, from text."""
     exact = F.when(v.rlike(r"^[+-]?[0-9]+\z"), F.regexp_replace(v, r"^\+", "").try_cast("decimal(38,0)"))
     fits = F.coalesce(exact.between(F.lit(-(2**63)), F.lit(2**63 - 1)), F.lit(False))
-    number = v.rlike(r"(?i)^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)(e[+-]?[0-9]+)?\z") | v.rlike(r"(?i)^[+-]?(inf|infinity|nan)\z") | v.rlike(r"(?i)^[+-]?0x[0-9a-f]+\.?[0-9a-f]*p[+-]?[0-9]+\z")
+    number = v.rlike(r"(?i)^[+-]?(([0-9]+\.?[0-9]*|\.[0-9]+)(e[+-]?[0-9]+)?|inf|infinity|nan|0x[0-9a-f]+\.?[0-9a-f]*p[+-]?[0-9]+)\z")
     return F.when(v.isin("true", "false"), "boolean").when(fits, "integer").when(number, "number").otherwise("string")
 
 
@@ -120,9 +120,15 @@ def json_parameters(leaves: Column) -> Column:
 
 
 def first_of_each(parameters: Column) -> Column:
-    """The first of each (source, path)."""
-    keys = F.transform(parameters, lambda p: F.concat(p["source"], F.lit("\0"), p["path"]))
-    return F.filter(F.transform(F.arrays_zip(parameters.alias("p"), keys.alias("k")), lambda z, i: F.struct(z["p"].alias("p"), (F.array_position(keys, z["k"]) == i + 1).alias("first"))), lambda z: z["first"])
+    """The first of each (source, path).  A fold, so that the array is worked out once a row, not once an element."""
+    start = F.struct(F.array().cast(PARAMETER).alias("kept"), F.array().cast("array<string>").alias("keys"))
+
+    def add(state: Column, p: Column) -> Column:
+        key = F.concat(p["source"], F.lit("\0"), p["path"])
+        more = F.struct(F.concat(state["kept"], F.array(p)).alias("kept"), F.concat(state["keys"], F.array(key)).alias("keys"))
+        return F.when(F.array_contains(state["keys"], key), state).otherwise(more)
+
+    return F.aggregate(parameters, start, add, lambda state: state["kept"])
 
 
 def with_parameters(df: DataFrame) -> DataFrame:
@@ -142,7 +148,7 @@ def with_parameters(df: DataFrame) -> DataFrame:
     )
     body, object_ = F.col("body"), F.col("is_json") & is_json_object(F.col("body"))
     query = F.when(object_, member(body, "query"))
-    df = df.withColumn("every", every).withColumn("parameters", F.transform(first_of_each(F.col("every")), lambda z: z["p"])).drop("every", "leaves")
+    df = df.withColumn("parameters", first_of_each(every)).drop("leaves")
     return df.withColumns(
         {
             "gql_name": F.coalesce(F.when(object_, member(body, "operationName")), F.lit("")),

@@ -112,7 +112,7 @@ def index(rows: DataFrame) -> DataFrame:
 def query_candidates(analyzed: DataFrame, gates: Gates) -> DataFrame:
     """A row for each query parameter of a representative that can be a candidate; URLs are redacted."""
     rows = with_representatives(analyzed).where("query_eligible")
-    rows = rows.select("id", "method", "url", "page_url", "created_at", "authentication_context", F.explode("parameters").alias("x")).where("x.source = 'query' AND x.eligible")
+    rows = rows.select("id", "method", "url", "page_url", "created_at", "authentication_context", F.explode_outer("parameters").alias("x")).where("x.source = 'query' AND x.eligible")
     secret = F.col("authentication_context") == "AUTHENTICATED"
     return rows.where(~noise_name(F.col("x.path"))).select(
         "id", F.upper("method").alias("method"), redact_url(F.col("url")).alias("url"), F.col("x.path").alias("parameter_path"), F.col("x.type").alias("sample_type"), F.col("page_url").alias("source_page"), "created_at",

@@ -97,7 +97,9 @@ def latest(history: DataFrame) -> DataFrame:
 
 
 def request_parameters(analyzed: DataFrame) -> DataFrame:
-    return analyzed.select("id", "inventory_id", "task_id", F.posexplode("parameters").alias("ord", "x")).select("id", "inventory_id", "task_id", "ord", "x.*")
+    """One row a parameter.  The outer form keeps the optimizer from working the array out again to test its size."""
+    rows = analyzed.select("id", "inventory_id", "task_id", F.posexplode_outer("parameters").alias("ord", "x"))
+    return rows.where("ord IS NOT NULL").select("id", "inventory_id", "task_id", "ord", "x.*")
 
 
 def scanner_candidates(analyzed: DataFrame) -> DataFrame:
