@@ -116,7 +116,7 @@ def posterior(model: dict) -> Column:
     return 1 / (1 + F.exp(-F.greatest(F.least(_logit(model), F.lit(500.0)), F.lit(-500.0))))
 
 
-def estimate(patterns: DataFrame, names: list[str], rounds: int = 25, smooth: float = 1.0) -> dict:
+def estimate(patterns: DataFrame, names: list[str], rounds: int = 12, smooth: float = 1.0) -> dict:
     """Expectation-maximisation over ``patterns`` (a column a rule, and n).  Every round is one aggregate over the counted
     patterns; the driver sees its sums only, which are six a rule.  A rule that would vote worse than chance counts for
     nothing in that round."""
@@ -144,7 +144,7 @@ def estimate(patterns: DataFrame, names: list[str], rounds: int = 25, smooth: fl
                 table[1] = table[0] = {v: (table[1][v] + table[0][v]) / 2 for v in (-1, 0, 1)}
             model["rules"][name] = table
         moved = max(abs(model["rules"][n][y][v] - was["rules"][n][y][v]) for n in names for y in (0, 1) for v in (-1, 0, 1))
-        if moved < 1e-6:
+        if moved < 1e-4:
             break
     return model
 
