@@ -3,8 +3,8 @@
 Only lengths matter for packing, and lengths are integers from 1 to the sequence size.  The driver gets the
 number of pieces of each length (at most ``size`` rows, whatever the corpus) and packs whole classes: a pattern
 is the list of lengths in a bin, with the number of bins that look so.  Best fit decreasing over classes gives
-the first solution; the local search then empties underfull bins by moves and by one-for-one, two-for-one and
-one-for-two exchanges, each raising the sum of squared fills.  Pieces get ranks within their length, salted so that a length that a third of
+the first solution; the local search then empties underfull bins, all of them and whole patterns at once, by moves and
+exchanges of one or two items, each raising the sum of squared fills, until none does.  Pieces get ranks within their length, salted so that a length that a third of
 all rows share is numbered by many tasks, and a rank's place in a pattern gives sequence and offset.
 
 Edge cases: a null text counts as empty (its one token is the end token); rows that repeat an id are packed as rows
@@ -18,6 +18,8 @@ import sys
 import types
 import zlib
 from bisect import bisect_left, insort
+from collections import Counter
+from heapq import heapify, heappop, heappush
 from itertools import chain
 
 import numpy as np
@@ -217,77 +219,95 @@ def best_fit(classes: dict[int, int], size: int) -> list[tuple[tuple[int, ...],
     return [(flat(p), bins) for g in groups.values() for p, bins in g]
 
 
-def local_search(bins: list[list[int]], size: int, rounds: int = 20_000) -> list[list[int]]:
-    """Empty bins by moves and exchanges that raise the sum of squared fills.
+def _takes(pattern: tuple[int, ...]) -> tuple[np.ndarray, list[tuple[int, ...]]]:
+    """Sums that nothing, one or two items of ``pattern`` can have, rising, and items of each sum."""
+    found: dict[int, tuple[int, ...]] = {0: ()}
+    for x in set(pattern):
+        found.setdefault(x, (x,))
+    for a, b in {(a, b) for i, a in enumerate(pattern) for b in pattern[i + 1 :]}:
+        found.setdefault(a + b, (a, b))
+    sums = sorted(found)
+    return np.array(sums, np.int64), [found[x] for x in sums]
 
-    The emptiest bin is the source.  Of all moves of one of its items, exchanges of one item for a smaller one,
-    of two for one and of one for two, the one that raises the sum most is taken, until the bin is empty or nothing helps; then the next
-    emptiest bin is tried.  Stops when no fewer bins can hold the total.
+
+def _swapped(pattern: tuple[int, ...], out: tuple[int, ...], into: tuple[int, ...]) -> tuple[int, ...]:
+    left = list(pattern)
+    for x in out:
+        left.remove(x)
+    return tuple(sorted([*left, *into], reverse=True))
+
+
+def local_search(patterns: list[tuple[tuple[int, ...], int]], size: int) -> list[tuple[tuple[int, ...], int]]:
+    """Empty bins by moves and exchanges that raise the sum of squared fills, for all bins of a pattern at once.
+
+    The emptiest pattern is the source, and every pattern that is not full and not emptier a target, so each underfull bin
+    is either in turn.  One or two items go to the target for none, one or two of its own; of those that fit, a target
+    takes what fills it most.  The bins of the source go to the targets by falling gain, a move a bin.  A full bin can
+    take part in no such move.  Ends when no source has a move that gains, or when no fewer bins can hold the total.
     """
-    bins = [list(b) for b in bins if b]
-    if not bins:
-        return bins
-    total, done = sum(map(sum, bins)), []
-    while bins and rounds > 0 and len(bins) + len(done) > -(-total // size):
-        bins.sort(key=sum)
-        source, rest = bins[0], bins[1:]
-        item = np.array([x for b in rest for x in b], np.int64)
-        home = np.array([i for i, b in enumerate(rest) for _ in b], np.int64)
-        load = np.array([sum(b) for b in rest], np.int64)
-        saved = [list(b) for b in bins]
-        while source and rounds > 0:
-            rounds -= 1
-            mine, best = sum(source), (0, None)
-
-            def offer(delta, to, make, mine=mine):
-                nonlocal best
-                gain = np.where((delta > 0) & (load[to] + delta <= size), delta * (load[to] - mine + delta), 0)
-                if len(gain) and gain.max() > best[0]:
-                    best = (int(gain.max()), make(int(gain.argmax())))
-
-            every = np.arange(len(rest))
-            for x in set(source):
-                offer(np.full(len(rest), x), every, lambda k, x=x: ((x,), k, ()))
-                offer(x - item, home, lambda k, x=x: ((x,), int(home[k]), (int(item[k]),)))
-            pairs = {tuple(sorted((a, b))) for i, a in enumerate(source[:40]) for b in source[i + 1 : 40]}
-            for a, b in list(pairs)[:200]:
-                offer(a + b - item, home, lambda k, a=a, b=b: ((a, b), int(home[k]), (int(item[k]),)))
-            both = item[:-1] + item[1:]
-            same = home[:-1] == home[1:]
-            for x in set(source):
-                offer(np.where(same, x - both, 0), home[:-1], lambda k, x=x: ((x,), int(home[k]), (int(item[k]), int(item[k + 1]))))
-            if best[1] is None:
-                break
-            out, to, back = best[1]
-            for x in out:
-                source.remove(x)
-                rest[to].append(x)
-            for y in back:
-                rest[to].remove(y)
-                source.append(y)
-            load[to] = sum(rest[to])
-            item = np.array([x for b in rest for x in b], np.int64)
-            home = np.array([i for i, b in enumerate(rest) for _ in b], np.int64)
-        if source:
-            done.append(saved[0] if sum(map(sum, saved)) != sum(map(sum, [source, *rest])) else source)
-        bins = rest
-    return done + bins
-
-
-def plan_packing(classes: dict[int, int], size: int = SIZE, search_bins: int = 512) -> list[tuple[tuple[int, ...], int]]:
-    """Patterns for all pieces: best fit by classes, then the local search over the ``search_bins`` emptiest bins."""
-    patterns = best_fit(classes, size)
-    total = sum(length * n for length, n in classes.items())
-    if sum(n for _, n in patterns) <= -(-total // size):
-        return patterns
-    patterns.sort(key=lambda p: sum(p[0]))
-    open_bins, held = [], []
+    counts: Counter[tuple[int, ...]] = Counter()
     for pattern, n in patterns:
-        take = min(n, search_bins - len(open_bins)) if sum(pattern) < size else 0
-        open_bins += [list(pattern)] * take
-        if n > take:
-            held.append((pattern, n - take))
-    return held + [(tuple(b), 1) for b in local_search(open_bins, size)]
+        counts[tuple(sorted(pattern, reverse=True))] += n
+    total = sum(sum(p) * n for p, n in counts.items())
+    spare = sum(counts.values()) - -(-total // size)
+    full = [(p, n) for p, n in counts.items() if sum(p) == size]
+    for p, _ in full:
+        del counts[p]
+    takes = {p: _takes(p) for p in counts}
+    gained = True
+    while gained and spare > 0:
+        gained = False
+        queue = [(sum(p), p) for p in counts]
+        heapify(queue)
+        while queue and spare > 0:
+            load, source = heappop(queue)
+            if not counts.get(source):
+                continue
+            targets = list(counts)
+            loads = np.fromiter(map(sum, targets), np.int64, len(targets))
+            targets, loads = [targets[k] for k in np.flatnonzero(loads >= load)], loads[loads >= load]
+            give, given = takes[source]
+            per = np.array([len(takes[t][0]) for t in targets])
+            back, home = np.concatenate([takes[t][0] for t in targets]), np.repeat(np.arange(len(targets)), per)
+            pick = np.searchsorted(give, back + size - loads[home], "right") - 1
+            more = give[pick] - back
+            gain = np.where(more > 0, more * (loads[home] - load + more), 0)
+            start = np.cumsum(per) - per
+            best = np.maximum.reduceat(gain, start)
+            moves, left = [], counts[source]
+            for k in np.argsort(-best, kind="stable"):
+                if best[k] <= 0 or not left:
+                    break
+                at = start[k] + int(gain[start[k] : start[k] + per[k]].argmax())
+                n = left // 2 if targets[k] == source else min(left, counts[targets[k]])
+                if n:
+                    moves.append((targets[k], given[pick[at]], takes[targets[k]][1][at - start[k]], n))
+                    left -= 2 * n if targets[k] == source else n
+            for target, out, into, n in moves:
+                counts[source] -= n
+                counts[target] -= n
+                for p in (_swapped(source, out, into), _swapped(target, into, out)):
+                    if not p:
+                        spare -= n
+                    elif sum(p) == size:
+                        full.append((p, n))
+                    else:
+                        counts[p] += n
+                        if p not in takes:
+                            takes[p] = _takes(p)
+                        heappush(queue, (sum(p), p))
+            gained = gained or bool(moves)
+            for p in {source, *(m[0] for m in moves)}:
+                if not counts[p]:
+                    del counts[p]
+            if moves and counts.get(source):
+                heappush(queue, (load, source))
+    return full + list(counts.items())
+
+
+def plan_packing(classes: dict[int, int], size: int = SIZE) -> list[tuple[tuple[int, ...], int]]:
+    """Patterns for all pieces: best fit by classes, then the local search over all of them."""
+    return local_search(best_fit(classes, size), size)
 
 
 def _slots(patterns: list[tuple[tuple[int, ...], int]]) -> pa.Table:
