@@ -17,6 +17,8 @@ extra columns are ignored (the pipeline stage keeps the columns of documents).
 
 from __future__ import annotations
 
+import warnings
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -93,10 +95,16 @@ def fit_rates(table: DataFrame, targets: dict[str, float], rounds: int = 30, clo
     """Steps of the projected gradient for ``table`` (n_tokens, posteriors), towards token totals; it ends when no total
     misses its target by more than ``close`` of all targets.  Second moments are taken over the documents that are not
     held at a bound; a step that makes the miss larger is followed by one with the moments of all."""
+    return _fit(table, targets, rounds, close, most)[0]
+
+
+def _fit(table: DataFrame, targets: dict[str, float], rounds: int, close: float, most: float) -> tuple[list[np.ndarray], dict[str, float]]:
+    """The steps, and by how much the last totals seen are above their targets where they are not close; rates after the
+    steps give these totals."""
     p = [F.col(f"p_{d}") for d in DOMAINS]
     pairs = [(i, j) for i in range(len(p)) for j in range(i, len(p))]
     want, steps, least = np.array([targets[d] for d in DOMAINS]), [], np.inf
-    for _ in range(rounds):
+    for left in range(rounds, -1, -1):
         rated = table.withColumn("r", rate_after(steps, most))
         free = F.col("n_tokens") * ((F.col("r") > 0) & (F.col("r") < most)).cast("int")
         row = rated.agg(
@@ -105,10 +113,12 @@ def fit_rates(table: DataFrame, targets: dict[str, float], rounds: int = 30, clo
             *(F.sum(free * p[i] * p[j]) for i, j in pairs),
         ).first()
         if row[0] is None or not row[len(p)]:
-            return steps
+            return steps, {}
         got = np.array(row, float)
         miss, size = got[: len(p)] - want, np.abs(got[: len(p)] - want).max()
         if size <= close * want.sum():
+            return steps, {}
+        if not left:
             break
         part = got[len(p) : len(p) + len(pairs)] if size > least else got[len(p) + len(pairs) :]
         least = min(least, size)
@@ -116,14 +126,13 @@ def fit_rates(table: DataFrame, targets: dict[str, float], rounds: int = 30, clo
         for (i, j), v in zip(pairs, part, strict=True):
             h[i, j] = h[j, i] = v
         steps.append(np.linalg.pinv(h + np.eye(len(p)) * 1e-6 * np.trace(h)) @ miss)
-    return steps
+    return steps, dict(zip(DOMAINS, miss.tolist(), strict=True))
 
 
-def mix(docs: DataFrame, labels: DataFrame, shares: dict[str, float] | None = None, most: float = MOST, snap: float = 0.1) -> DataFrame:
+def mix(docs: DataFrame, labels: DataFrame, shares: dict[str, float] | None = None, most: float = MOST) -> DataFrame:
     """doc_id, salt, n_tokens, posteriors, rate and copies.  The mix is as large as the expected clean tokens divided by the
-    clean share; a domain that has less than its share keeps what it has, as repeating its few documents would only copy them.  ``copies`` rounds a rate up or down by the row's hash, so that expected totals hold; rates within ``snap`` of a whole
-    number are that number, so that what is to stay as it is stays.  (The pipeline rounds to the nearest whole number
-    instead, so that what is likelier clean than not stays.)"""
+    clean share; a domain that has less than its share is raised, by rates up to ``most``.  Where the bounds keep totals from
+    their targets, a warning names what is missed.  ``copies`` rounds a rate up or down by the row's hash, so that expected totals hold."""
     shares = shares or TARGETS
     table = posteriors(docs, labels)
     if table is None:
@@ -132,14 +141,15 @@ def mix(docs: DataFrame, labels: DataFrame, shares: dict[str, float] | None = No
         flat = [F.lit(float(k == 0)).alias(f"p_{d}") for k, d in enumerate(DOMAINS)]
         return docs.select("doc_id", F.xxhash64("doc_id", "text").alias("salt"), words.cast("long").alias("n_tokens"), *flat, F.lit(1.0).alias("rate"), F.lit(1).alias("copies"))
     table = settle(table, "posteriors")
-    have = table.agg(*(F.sum(F.col("n_tokens") * F.col(f"p_{d}")).alias(d) for d in DOMAINS)).first().asDict()
-    have = {d: have[d] or 0.0 for d in DOMAINS}
-    total = have[DOMAINS[0]] / shares[DOMAINS[0]]
-    steps = fit_rates(table, {d: min(total * shares[d], have[d]) for d in DOMAINS}, most=most)
-    whole = F.round("rate")
+    clean = table.agg(F.sum(F.col("n_tokens") * F.col(f"p_{DOMAINS[0]}"))).first()[0] or 0.0
+    total = clean / shares[DOMAINS[0]]
+    targets = {d: total * shares[d] for d in DOMAINS}
+    steps, missed = _fit(table, targets, 30, 1e-3, most)
+    if missed:
+        said = ", ".join(f"{d} {targets[d] + missed[d]:.0f} of {targets[d]:.0f}" for d in DOMAINS)
+        warnings.warn(f"mixing: token totals miss their targets with rates of 0 to {most:g}: {said}", stacklevel=2)
     draw = F.pmod(F.col("salt"), F.lit(1 << 20)) / (1 << 20)
-    copies = F.when(F.abs(F.col("rate") - whole) <= snap, whole).otherwise(F.floor(F.col("rate") + draw))
-    return table.withColumn("rate", rate_after(steps, most)).withColumn("copies", copies.cast("int"))
+    return table.withColumn("rate", rate_after(steps, most)).withColumn("copies", F.floor(F.col("rate") + draw).cast("int"))
 
 
 def op10_mixing(spark, sf_dir: str) -> DataFrame:

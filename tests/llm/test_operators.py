@@ -401,6 +401,28 @@ def test_rates_are_least_squares(spark):
     assert (r >= 0).all() and np.abs((df.toPandas().n_tokens.to_numpy()[:, None] * df.toPandas().iloc[:, 1:].to_numpy() * r[:, None]).sum(0) - want).max() <= 2e-3 * want.sum()
 
 
+def test_short_domains_are_raised(spark, small):
+    """Shares above what a domain has are met; what rates of up to ``most`` cannot reach is reported."""
+    docs, labels = (spark.read.parquet(f"{small}/{t}.parquet") for t in ("documents", "labels"))
+    shares = {"clean": 0.84, "low_quality": 0.07, "toxic": 0.09}
+    got = mixing.mix(docs, labels, shares)
+    have, fit = (got.agg(*(F.sum(F.col("n_tokens") * F.col(f"p_{d}") * r).alias(d) for d in mixing.DOMAINS)).first().asDict() for r in (F.lit(1), F.col("rate")))
+    whole = have["clean"] / shares["clean"]
+    assert have["toxic"] < shares["toxic"] * whole - 2e-3 * whole
+    for d in mixing.DOMAINS:
+        assert abs(fit[d] - shares[d] * whole) <= 2e-3 * whole
+    with pytest.warns(UserWarning, match="miss their targets"):
+        mixing.mix(docs, labels, {"clean": 0.1, "low_quality": 0.45, "toxic": 0.45})
+
+
+def test_mixing_stage_follows_copies(spark, small):
+    docs, labels = (spark.read.parquet(f"{small}/{t}.parquet") for t in ("documents", "labels"))
+    rows = mixing.mix(docs, labels).collect()
+    assert all(r["copies"] == math.floor(r["rate"] + (r["salt"] % (1 << 20)) / (1 << 20)) for r in rows)
+    want = {r["doc_id"]: r["copies"] for r in rows if r["copies"]}
+    assert Counter(r["doc_id"] for r in corpus_pipeline.mixing(spark, docs, small).collect()) == want
+
+
 # -- pipeline
 
 
