@@ -1,16 +1,18 @@
 """Corpus cleaning pipeline: STAGES run in order, each over what the one before kept.
 
 Every stage takes (spark, docs, sf_dir).  All but the last return rows of ``docs`` with all its columns; the last
-returns packed pieces.  Decisions are looked up by doc_id, so rows that repeat an id stand or fall together, and the exact
-dedup stage leaves one of them.  The first stage drops rows whose doc_id is null, as nothing can be decided about them.
+returns packed pieces.  Each row is judged and looked up by a key of its own, so rows that repeat an id, or have none, go
+only if they are themselves rejected.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftline.llm.common import BROADCAST_BYTES, settle
+from siftline.llm.common import BROADCAST_BYTES, parts, settle
 from siftline.llm.exact_dedup import exact_dedup
 from siftline.llm.mixing import mix
 from siftline.llm.near_dedup import near_dedup
@@ -18,31 +20,42 @@ from siftline.llm.packing import pack_documents
 from siftline.llm.quality_rules import quality_rules
 
 
-def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose doc_id is not in ``gone``.  Few ids are broadcast; more are joined by a shuffle."""
-    gone = settle(gone.select("doc_id").distinct(), "gone")
-    return docs.join(F.broadcast(gone) if gone.count() * 16 <= BROADCAST_BYTES else gone, "doc_id", "left_anti").select(*docs.columns)
+KEY = "pipeline_row_key"
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with a key of each row, in the order of doc_id with nulls last: doc_id itself where all rows have one of their
+    own, else numbers that are written with the rows, so that they stay the same whenever they are read."""
+    ids = docs.select(F.col("doc_id").cast("long").alias("id"))
+    if not ids.groupBy("id").count().where("id IS NULL OR count > 1").limit(1).count():
+        return docs.withColumn(KEY, F.col("doc_id").cast("long"))
+    order = [F.col("doc_id").cast("long").asc_nulls_last(), F.xxhash64("text").asc()]
+    dealt = docs.repartitionByRange(parts(docs.sparkSession), *order).sortWithinPartitions(*order)
+    return settle(dealt.withColumn(KEY, F.monotonically_increasing_id()), "keyed")
+
+
+def _kept(docs: DataFrame, judge: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Rows of ``docs`` that ``judge`` keeps; it sees the row's key as doc_id.  Few rejected keys are broadcast; more are
+    joined by a shuffle."""
+    keyed = _keyed(docs)
+    found = judge(keyed.select(F.col(KEY).alias("doc_id"), "text"))
+    gone = settle(found.where("NOT kept").select(F.col("doc_id").alias(KEY)), "gone")
+    return keyed.join(F.broadcast(gone) if gone.count() * 16 <= BROADCAST_BYTES else gone, KEY, "left_anti").select(*docs.columns)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
-    docs = docs.where("doc_id IS NOT NULL")
-    return _without(docs, quality_rules(docs).where("NOT kept"))
+    return _kept(docs, quality_rules)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each set of equal texts, and one row of each id."""
-    found = settle(exact_dedup(docs), "exact")
-    out = _without(docs, found.where("NOT kept"))
-    twice = settle(found.where("kept").groupBy("doc_id").count().where("count > 1").select("doc_id"), "twice")
-    if not twice.limit(1).count():
-        return out
-    return _without(out, twice).union(out.join(twice, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"]))
+    """One document of each set of equal texts."""
+    return _kept(docs, exact_dedup)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group of near copies."""
-    return _without(docs, near_dedup(docs).where("NOT kept"))
+    return _kept(docs, near_dedup)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -462,3 +462,19 @@ def test_pipeline_edges(spark, docs, small):
     for name, stage in corpus_pipeline.STAGES:
         nothing = settle(stage(spark, nothing, small), name)
     assert nothing.count() == 0
+
+
+def test_pipeline_keeps_clean_rows_of_null_or_repeated_ids(spark, small):
+    """Only rows that are rejected themselves go: junk, the later of equal texts, the later of near copies."""
+    plain = [r["text"] for r in spark.read.parquet(f"{small}/documents.parquet").orderBy("doc_id").collect()]
+    one, two, three, four = [t for t in plain if brute_counts(t)[0] >= 40 and 100 * brute_counts(t)[4] <= 5 * brute_counts(t)[0]][:4]
+    cases = [(1, one), (1, "junk"), (2, two), (2, three), (2, two), (3, three), (None, four), (None, "junk"), (4, one)]
+    rows = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in cases], DOCS)
+    filler = spark.read.parquet(f"{small}/documents.parquet").where(~F.col("text").isin(one, two, three, four)).select(F.col("doc_id") + 1000, "text", "lang", "source", "n_chars").toDF(*rows.columns)
+    out = rows.union(filler)
+    left = lambda df: Counter((r["doc_id"], r["text"]) for r in df.collect() if r["doc_id"] is None or r["doc_id"] < 1000)
+    out = settle(corpus_pipeline.quality(spark, out, small), "quality")
+    assert left(out) == Counter((i, t) for i, t in cases if t != "junk")
+    out = settle(corpus_pipeline.exact(spark, out, small), "exact")
+    assert left(out) == Counter([(1, one), (2, two), (2, three), (None, four)])
+    assert left(corpus_pipeline.near(spark, rows.where("text <> 'junk'"), small)) == Counter([(1, one), (2, two), (2, three), (None, four)])
