@@ -61,10 +61,10 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as their copies say, whose expected totals follow the rates."""
     rates = mix(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    times = settle(rates.where("copies <> 1").groupBy(F.col("doc_id").alias("id"), "salt").agg(F.max("copies").alias("times")), "times")
+    times = settle(rates.where("copies <> 1").groupBy(F.col("doc_id").alias("mix_id"), F.col("salt").alias("mix_salt")).agg(F.max("copies").alias("times")), "times")
     times = F.broadcast(times) if times.count() * 28 <= BROADCAST_BYTES else times
     salted = docs.withColumn("row_salt", F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")))
-    out = salted.join(times, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("row_salt") == F.col("salt")), "left").withColumn("times", F.coalesce("times", F.lit(1)))
+    out = salted.join(times, F.col("doc_id").eqNullSafe(F.col("mix_id")) & (F.col("row_salt") == F.col("mix_salt")), "left").withColumn("times", F.coalesce("times", F.lit(1)))
     return out.where("times > 0").select(*docs.columns, F.explode(F.array_repeat(F.lit(0), F.col("times"))).alias("copy")).drop("copy")
 
 
