@@ -5,13 +5,15 @@ all documents (at most 3 ** rules rows), and expectation-maximisation over the c
 each rule votes on good and on bad documents, so that rules that agree with the others weigh more.  The posterior
 probability of "good" replaces an all-must-pass filter.
 
-Edge cases: null and empty texts have zero counts and fail the base rule (under 20 words); rows that repeat an id
-are judged one by one; an empty table gives an empty result; extra columns are ignored.
+Edge cases: null and empty texts have zero counts and fail the base rule (under 20 words); a very long text is judged as a
+whole, in arrays as long as its words; a posterior that ties with the threshold is kept; rows that repeat an id, or have
+none, are judged one by one; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import math
+import warnings
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -103,49 +105,46 @@ def rules() -> dict[str, Column]:
     return {n: F.when(c, -1).otherwise(0) for n, c in bad.items()} | {n: F.when(c, 1).otherwise(0) for n, c in good.items()}
 
 
-def _logit(model: dict) -> Column:
-    """Log odds of "good" from the vote columns, under the current estimates."""
-    out = F.lit(math.log(model["prior"] / (1 - model["prior"])))
-    for name, table in model["rules"].items():
-        odds = {v: math.log(table[1][v] / table[0][v]) for v in (-1, 0, 1)}
-        out = out + F.when(F.col(name) == -1, odds[-1]).when(F.col(name) == 1, odds[1]).otherwise(odds[0])
-    return out
-
-
 def posterior(model: dict) -> Column:
-    return 1 / (1 + F.exp(-F.greatest(F.least(_logit(model), F.lit(500.0)), F.lit(-500.0))))
-
-
-def estimate(patterns: DataFrame, names: list[str], rounds: int = 12, smooth: float = 1.0) -> dict:
-    """Expectation-maximisation over ``patterns`` (a column a rule, and n).  Every round is one aggregate over the counted
-    patterns; the driver sees its sums only, which are six a rule.  A rule that would vote worse than chance counts for
-    nothing in that round."""
+    """Probability of "good" from the vote columns, under the current estimates.  They are the items of one array, which
+    generated code takes by reference: all rounds share the code of the first."""
+    odds = [math.log(model["prior"] / (1 - model["prior"]))]
+    for table in model["rules"].values():
+        odds += [math.log(table[1][v] / table[0][v]) for v in (-1, 0, 1)]
+    items = F.lit(odds)
+    logit = F.get(items, F.lit(0))
+    for k, name in enumerate(model["rules"]):
+        logit = logit + F.get(items, F.col(name) + (3 * k + 2))
+    return 1 / (1 + F.exp(-F.greatest(F.least(logit, F.lit(500.0)), F.lit(-500.0))))
+
+
+def estimate(patterns: DataFrame, names: list[str], rounds: int = 100, smooth: float = 1.0, close: float = 1e-6) -> dict:
+    """Expectation-maximisation over ``patterns`` (a column a rule, and n) until no estimate moves by ``close``; a warning
+    says so if ``rounds`` end before that.  Every round is one aggregate over the counted patterns; the driver sees its
+    sums only, which are three a rule.  A rule that would vote worse than chance counts for nothing in that round."""
     start = {-1: 0.02, 0: 0.58, 1: 0.4}, {-1: 0.4, 0: 0.58, 1: 0.02}  # at first, to abstain says nothing
     model = {"prior": 0.8, "rules": {n: {1: start[0], 0: start[1]} for n in names}}
+    votes = [(name, v) for name in names for v in (-1, 0, 1)]
+    hits = lambda c: [F.sum(F.when(F.col(name) == v, F.col(c)).otherwise(0)).alias(f"{name}_{v}") for name, v in votes]
+    whole = patterns.agg(F.sum("n").alias("all"), *hits("n")).first()
+    if not whole["all"]:
+        return model
     for _ in range(rounds):
-        p = posterior(model)
-        sums = [F.sum(F.col("n") * p).alias("good"), F.sum("n").alias("all")]
-        for name in names:
-            for v in (-1, 0, 1):
-                hit = F.when(F.col(name) == v, F.col("n")).otherwise(0)
-                sums += [F.sum(hit * p).alias(f"{name}_{v}_g"), F.sum(hit).alias(f"{name}_{v}_a")]
-        row = patterns.agg(*sums).first()
-        if not row["all"]:
-            return model
-        good, bad = row["good"], row["all"] - row["good"]
-        was, model = model, {"prior": min(0.99, max(0.01, good / row["all"])), "rules": {}}
+        row = patterns.withColumn("good", F.col("n") * posterior(model)).agg(F.sum("good").alias("good"), *hits("good")).first()
+        good, bad = row["good"], whole["all"] - row["good"]
+        was, model = model, {"prior": min(0.99, max(0.01, good / whole["all"])), "rules": {}}
         for name in names:
             table = {1: {}, 0: {}}
             for v in (-1, 0, 1):
-                g, a = row[f"{name}_{v}_g"], row[f"{name}_{v}_a"]
+                g, a = row[f"{name}_{v}"], whole[f"{name}_{v}"]
                 table[1][v] = (g + smooth) / (good + 3 * smooth)
                 table[0][v] = (max(0.0, a - g) + smooth) / (bad + 3 * smooth)
             if table[1][-1] >= table[0][-1] and table[1][1] <= table[0][1]:
                 table[1] = table[0] = {v: (table[1][v] + table[0][v]) / 2 for v in (-1, 0, 1)}
             model["rules"][name] = table
-        moved = max(abs(model["rules"][n][y][v] - was["rules"][n][y][v]) for n in names for y in (0, 1) for v in (-1, 0, 1))
-        if moved < 1e-4:
-            break
+        if max(abs(model["rules"][n][y][v] - was["rules"][n][y][v]) for n, v in votes for y in (0, 1)) < close:
+            return model
+    warnings.warn(f"quality rules: estimates still move after {rounds} rounds", stacklevel=2)
     return model
 
 
