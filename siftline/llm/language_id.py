@@ -1,20 +1,25 @@
 """Language identification by segmentation-marginalised unigrams.
 
-Every language has a probability for each piece of a fixed public vocabulary.  The score of a word is the sum over all
-ways to cut it into pieces of the product of their probabilities, by a forward recursion; a text's score is the sum
-of the logarithms over its words.  Probabilities are learned by expectation-maximisation (forward and backward) over
-the word counts of all training documents.
+Every language has a probability for each piece of a fixed public vocabulary, all of its pieces.  The score of a word is
+the sum over all ways to cut it into pieces of the product of their probabilities, by a forward recursion; a text's score is
+the sum of the logarithms over its words.  Probabilities are learned by expectation-maximisation (forward and backward)
+over the word counts of all training documents, until the log-likelihood settles.
 
-Words are split at ASCII white space, with A-Z lower-cased, and cut every ``SEGMENT`` characters, so that a text without
-spaces is scored as a whole at bounded cost.  Each distinct word is scored once a task.
+Words are split at ASCII white space, with A-Z lower-cased, and scored whole: a word of any length, and so a text without
+spaces, goes through the recursion ``STEP`` characters at a time, which carries the last positions along.  The recursions
+are rescaled every few characters, so that long words and small probabilities do not underflow.  Each distinct word is
+scored once a task.
 
 Edge cases: a text that is null or has no letter is ``und`` with score 0; documents without lang teach nothing but are
 predicted; with nothing to learn from, all is ``und``; a tie goes to the first language by name; rows that repeat an
-id are predicted one by one; an empty table gives an empty result; extra columns are ignored.
+id are predicted one by one; a very long word takes time and memory in proportion to its length; an empty table gives an
+empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import warnings
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -24,109 +29,208 @@ from pyspark.sql import functions as F
 from .common import as_documents, settle
 from .words import mix, text_chunks, word_hashes, word_spans
 
-SEGMENT, LONGEST, BLOCK = 32, 8, 8192
+BLOCK, STEP, CELLS, RESCALE = 8192, 2048, 1 << 18, 8
 UNKNOWN = 0
 _B = np.uint64(0x9E3779B97F4A7C15)
 
 
 def vocabulary(path: str | None = None) -> list[str]:
-    """Pieces of the public vocabulary, at most LONGEST characters long; piece 0 is any other single character."""
+    """Pieces of the public vocabulary; piece 0 is any other single character."""
     import public_tokenizers
     import sentencepiece
 
     sp = sentencepiece.SentencePieceProcessor(model_file=path or public_tokenizers.path("piece_bpe_32k.model"))
     found = (sp.id_to_piece(i) for i in range(sp.get_piece_size()) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i)))
-    return ["", *sorted({p for p in found if 0 < len(p) <= LONGEST})]
+    return ["", *sorted({p for p in found if p})]
 
 
 def _points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
 
 
+def _slot(mixed: np.ndarray) -> np.ndarray:
+    return (mixed >> np.uint64(42)).astype(np.int64)
+
+
 class Pieces:
     """Finds which substrings of words are pieces."""
 
     def __init__(self, pieces: list[str]):
-        keys = np.zeros(len(pieces), np.uint64)
+        keys, starts = np.zeros(len(pieces), np.uint64), set()
         for i, p in enumerate(pieces):
             h = 0
             for c in p:
+                if h:
+                    starts.add(h)
                 h = (h * int(_B) + ord(c) + 1) % (1 << 64)
             keys[i] = h
+        self.longest = max(map(len, pieces))
         keys = mix(keys)
         order = np.argsort(keys[1:]) + 1
         self.keys, self.ids = keys[order], order.astype(np.int32)
-        self.maybe = np.zeros(1 << 20, bool)
-        self.maybe[(self.keys >> np.uint64(44)).astype(np.int64)] = True
+        # a chance hit costs a look-up or one more character, and changes no result
+        self.maybe, self.goes_on = np.zeros(1 << 22, bool), np.zeros(1 << 22, bool)
+        self.maybe[_slot(self.keys)] = True
+        self.goes_on[_slot(mix(np.array(sorted(starts), np.uint64)))] = True
 
-    def grid(self, words: list[str]):
-        """Yield (rows, lengths, ids) of blocks of words of like length; ``ids[k][:, i]`` is the piece of k + 1 characters from
-        place i on, or -1.  The one-character piece is never missing: it is UNKNOWN at least."""
+    def blocks(self, words: list[str]):
+        """Yield (rows, lengths) of words of like length."""
         size = np.fromiter(map(len, words), np.int64, len(words))
-        order = np.argsort(size, kind="stable")
-        for a in range(0, len(order), BLOCK):
-            rows = order[a : a + BLOCK]
-            length = size[rows]
-            n, width = len(rows), int(length.max())
-            flat = _points("".join(words[r] for r in rows.tolist()))
-            text = np.zeros((n, width), np.uint64)
-            text[np.arange(width) < length[:, None]] = flat + np.uint64(1)
-            ids, h = [], np.zeros((n, width), np.uint64)
-            for k in range(min(LONGEST, width)):
-                h = h[:, : width - k] * _B + text[:, k:]
-                fits = np.arange(width - k) + k < length[:, None]
-                m = mix(h[fits])
-                got = np.full(len(m), UNKNOWN if k == 0 else -1, np.int32)
-                some = np.flatnonzero(self.maybe[(m >> np.uint64(44)).astype(np.int64)])
-                at = np.minimum(np.searchsorted(self.keys, m[some]), len(self.keys) - 1)
-                right = self.keys[at] == m[some]
-                got[some[right]] = self.ids[at[right]]
-                out = np.full((n, width - k), -1, np.int32)
-                out[fits] = got
-                ids.append(out)
-            yield rows, length, ids
-
-
-def _forward(p: np.ndarray, length: np.ndarray, ids: list[np.ndarray]) -> np.ndarray:
-    """alpha[:, i]: probability of all segmentations of the first i characters.  ``p`` has a row a piece and a last row of
-    zeros, which -1 picks; further axes are languages."""
-    n, width = ids[0].shape
-    alpha = np.zeros((n, width + 1, *p.shape[1:]))
-    alpha[:, 0] = 1
-    for i in range(1, width + 1):
-        for k in range(min(LONGEST, i)):
-            col = ids[k][:, i - 1 - k]
-            some = np.flatnonzero(col >= 0)
-            if len(some):
-                alpha[some, i] += alpha[some, i - 1 - k] * p[col[some]]
-    return alpha
-
-
-def expected(p: np.ndarray, pieces: Pieces, words: list[str], counts: np.ndarray) -> np.ndarray:
-    """Expected piece counts of one language over all segmentations of the words."""
-    total = np.zeros(len(p))
-    for rows, length, ids in pieces.grid(words):
-        alpha = _forward(p, length, ids)
-        n, width = ids[0].shape
-        beta = np.zeros((n, width + 1))
-        beta[np.arange(n), length] = 1
-        for i in range(width - 1, -1, -1):
-            for k in range(min(LONGEST, width - i)):
-                col = ids[k][:, i]
-                some = np.flatnonzero(col >= 0)
-                if len(some):
-                    beta[some, i] += p[col[some]] * beta[some, i + 1 + k]
-        scale = counts[rows] / np.maximum(beta[:, 0], 1e-300)
-        for k, col in enumerate(ids):
-            r, i = np.nonzero(col >= 0)
-            got = col[r, i]
-            total += np.bincount(got, alpha[r, i] * p[got] * beta[r, i + 1 + k] * scale[r], minlength=len(p))
-    return total
-
-
-def _segments(word: str) -> list[str]:
-    text = "▁" + word
-    return [text] if len(text) <= SEGMENT else [text[i : i + SEGMENT] for i in range(0, len(text), SEGMENT)]
+        order, a = np.argsort(size, kind="stable"), 0
+        while a < len(order):
+            n = min(BLOCK, len(order) - a)
+            while n > 1 and n * min(size[order[a + n - 1]], STEP) > CELLS:
+                n //= 2
+            yield order[a : a + n], size[order[a : a + n]]
+            a += n
+
+    def lattice(self, words: list[str], rows: np.ndarray, length: np.ndarray, at: int):
+        """Pieces that end in the ``STEP`` characters from ``at`` on: the one-character piece of each place (UNKNOWN at least),
+        and row, end, characters before the last, and piece of all longer ones, by end and length."""
+        back, stop = min(self.longest - 1, at), min(at + STEP, int(length.max()))
+        width, low = stop - at + back, at - back
+        inside = np.clip(length - low, 0, width)
+        text = np.zeros((len(rows), width), np.uint64)
+        text[np.arange(width) < inside[:, None]] = _points("".join(words[r][low:stop] for r in rows.tolist())) + np.uint64(1)
+        flat = text.reshape(-1)
+        where = np.flatnonzero(flat)
+        h = flat[where]
+        single = np.full(len(flat), UNKNOWN, np.int32)
+        found = []
+        for k in range(self.longest):
+            m = mix(h)
+            some = np.flatnonzero(self.maybe[_slot(m)])
+            spot = np.minimum(np.searchsorted(self.keys, m[some]), len(self.keys) - 1)
+            right = self.keys[spot] == m[some]
+            start, piece = where[some[right]], self.ids[spot[right]]
+            if k == 0:
+                single[start] = piece
+            else:
+                row, end = start // width, start % width + k - back
+                keep = end >= 0
+                found.append((row[keep], end[keep], np.full(int(keep.sum()), k, np.int64), piece[keep]))
+            on = self.goes_on[_slot(m)] & (where % width + k + 1 < width)
+            where, h = where[on], h[on]
+            more = flat[where + k + 1]
+            where, h = where[more > 0], h[more > 0] * _B + more[more > 0]
+            if not len(where):
+                break
+        single = single.reshape(text.shape)[:, back:]
+        if not found:
+            none = np.zeros(0, np.int64)
+            return single, (none, none, none, none)
+        row, end, size, piece = (np.concatenate(c) for c in zip(*found, strict=True))
+        order = np.argsort(end.astype(np.uint16), kind="stable")
+        return single, (row[order], end[order], size[order], piece[order])
+
+
+def _groups(found) -> list[list[tuple]]:
+    """(characters before the last, rows, pieces) by end: every group has a row once."""
+    row, end, size, piece = found
+    out: list[list[tuple]] = []
+    if len(row):
+        cut = np.flatnonzero(np.r_[True, (end[1:] != end[:-1]) | (size[1:] != size[:-1])])
+        for a, z in zip(cut.tolist(), [*cut[1:].tolist(), len(row)], strict=True):
+            while len(out) <= end[a]:
+                out.append([])
+            out[end[a]].append((int(size[a]), row[a:z], piece[a:z]))
+    return out
+
+
+class _Forward:
+    """alpha: probability of all segmentations of the first characters of each word of a block.  ``p`` has a row a piece;
+    further axes are languages.  ``values`` and ``scales`` (logarithms) are of the last step, behind the positions carried."""
+
+    def __init__(self, p: np.ndarray, longest: int, n: int):
+        self.p, self.longest = p, longest
+        self.values, self.scales = np.ones((n, 1, *p.shape[1:])), np.zeros((n, 1, *p.shape[1:]))
+
+    def carried(self) -> tuple[np.ndarray, np.ndarray]:
+        return self.values[:, -self.longest :], self.scales[:, -self.longest :]
+
+    def step(self, single: np.ndarray, groups: list[list[tuple]], carried=None) -> None:
+        v, s = carried or self.carried()
+        n, width, lead = len(single), single.shape[1], v.shape[1]
+        value, scale = (np.concatenate([x, np.empty((n, width, *x.shape[2:]))], 1) for x in (v, s))
+        now = scale[:, lead - 1].copy()
+        for e in range(width):
+            at = lead + e
+            a = value[:, at - 1] * self.p[single[:, e]]
+            for k, rows, piece in groups[e] if e < len(groups) else ():
+                a[rows] += value[rows, at - 1 - k] * self.p[piece]
+            value[:, at], scale[:, at] = a, now
+            if e % RESCALE == RESCALE - 1 or e == width - 1:
+                first = max(0, at + 1 - self.longest)
+                value[:, first : at + 1] /= a[:, None]
+                now = now + np.log(a)
+                scale[:, first : at + 1] = now[:, None]
+        self.values, self.scales, self.lead = value, scale, lead
+
+
+def log_scores(p: np.ndarray, pieces: Pieces, words: list[str]) -> np.ndarray:
+    """Logarithm of the probability of each word, summed over all its segmentations."""
+    out = np.zeros((len(words), *p.shape[1:]))
+    for rows, length in pieces.blocks(words):
+        f = _Forward(p, pieces.longest, len(rows))
+        for at in range(0, int(length.max()), STEP):
+            single, found = pieces.lattice(words, rows, length, at)
+            f.step(single, _groups(found))
+            ends = np.flatnonzero((length > at) & (length <= at + STEP))
+            spot = f.lead + length[ends] - 1 - at
+            out[rows[ends]] = np.log(f.values[ends, spot]) + f.scales[ends, spot]
+    return out
+
+
+def expected(p: np.ndarray, pieces: Pieces, words: list[str], counts: np.ndarray) -> tuple[np.ndarray, float]:
+    """Expected piece counts of one language over all segmentations of the words, and the log-likelihood.  Only the positions
+    carried between steps are kept of the way forward; the way back works each step out again."""
+    total, likely = np.zeros(len(p)), 0.0
+    for rows, length in pieces.blocks(words):
+        n, f, carried = len(rows), _Forward(p, pieces.longest, len(rows)), []
+        whole = np.zeros(n)
+        steps = range(0, int(length.max()), STEP)
+        for at in steps:
+            single, found = pieces.lattice(words, rows, length, at)
+            carried.append(f.carried())
+            f.step(single, _groups(found))
+            ends = np.flatnonzero((length > at) & (length <= at + STEP))
+            spot = f.lead + length[ends] - 1 - at
+            whole[ends] = np.log(f.values[ends, spot]) + f.scales[ends, spot]
+        likely += float((whole * counts[rows]).sum())
+        behind, now = None, np.zeros(n)
+        for at, kept in zip(reversed(steps), reversed(carried), strict=True):
+            if len(steps) > 1:
+                single, found = pieces.lattice(words, rows, length, at)
+                f.step(single, _groups(found), kept)
+            groups, lead, width = _groups(found), f.lead, single.shape[1]
+            beta, scale = np.zeros((n, lead + width)), np.zeros((n, width))
+            if behind is not None:
+                beta[:, -behind.shape[1] :] = behind
+            ends = np.flatnonzero((length > at) & (length <= at + STEP))
+            beta[ends, lead + length[ends] - 1 - at] = 1
+            for e in range(width - 1, -1, -1):
+                spot = lead + e
+                b = beta[:, spot]
+                scale[:, e] = now
+                beta[:, spot - 1] += b * p[single[:, e]]
+                for k, r, piece in groups[e] if e < len(groups) else ():
+                    beta[r, spot - 1 - k] += b[r] * p[piece]
+                if e % RESCALE == 0:
+                    m = beta[:, spot - 1]
+                    m = np.where(m > 0, m, 1.0)
+                    beta[:, max(0, spot - pieces.longest) : spot] /= m[:, None]
+                    now = now + np.log(m)
+            behind = beta[:, :lead]
+            weight = counts[rows]
+            given = np.exp(np.minimum(f.scales[:, lead - 1 : -1] + scale - whole[:, None], 700.0))
+            share = f.values[:, lead - 1 : -1] * p[single] * beta[:, lead:] * given * weight[:, None]
+            total += np.bincount(single.reshape(-1), share.reshape(-1), minlength=len(p))
+            row, end, size, piece = found
+            if len(row):
+                first = lead + end - 1 - size
+                given = np.exp(np.minimum(f.scales[row, first] + scale[row, end] - whole[row], 700.0))
+                total += np.bincount(piece, f.values[row, first] * p[piece] * beta[row, lead + end] * given * weight[row], minlength=len(p))
+    return total, likely
 
 
 def _lowered(data: bytes, a: int, b: int) -> str:
@@ -134,7 +238,7 @@ def _lowered(data: bytes, a: int, b: int) -> str:
 
 
 def _word_counts(most: int = 300_000):
-    """(lang, segment, n) of a partition's documents, counted before they are sent; flushed beyond ``most`` distinct words."""
+    """(lang, word, n) of a partition's documents, counted before they are sent; flushed beyond ``most`` distinct words."""
 
     def run(batches):
         held: dict[tuple, dict[int, list]] = {}
@@ -143,10 +247,9 @@ def _word_counts(most: int = 300_000):
             langs, words, n = [], [], []
             for lang, table in held.items():
                 for word, count in table.values():
-                    for s in _segments(word):
-                        langs.append(lang)
-                        words.append(s)
-                        n.append(count)
+                    langs.append(lang)
+                    words.append("▁" + word)
+                    n.append(count)
             held.clear()
             for i in range(0, len(words), 50_000):
                 yield pa.RecordBatch.from_arrays([pa.array(langs[i : i + 50_000], pa.string()), pa.array(words[i : i + 50_000], pa.string()), pa.array(n[i : i + 50_000], pa.int64())], ["lang", "word", "n"])
@@ -182,8 +285,8 @@ def hash_name(name: str) -> int:
     return zlib.crc32(name.encode()) | len(name) << 32
 
 
-def _expected_counts(pieces: list[str], probs, most: int = 100_000):
-    """Sum of expected piece counts of a partition's words, a row a language and piece."""
+def _expected_counts(pieces: list[str], probs):
+    """Sum of expected piece counts of a partition's words, a row a language and piece; piece -1 is the log-likelihood."""
 
     def run(batches):
         find, total = Pieces(pieces), {}
@@ -192,35 +295,42 @@ def _expected_counts(pieces: list[str], probs, most: int = 100_000):
             words, n = batch.column(1).to_pylist(), batch.column(2).to_numpy().astype(float)
             for lang in set(langs):
                 mine = np.flatnonzero(langs == lang)
-                p = probs.value[lang]
-                got = expected(p, find, [words[i] for i in mine.tolist()], n[mine])
-                total[lang] = total.get(lang, 0) + got
-        for lang, got in total.items():
+                got, likely = expected(probs.value[lang], find, [words[i] for i in mine.tolist()], n[mine])
+                was = total.get(lang, (0, 0))
+                total[lang] = was[0] + got, was[1] + likely
+        for lang, (got, likely) in total.items():
             some = np.flatnonzero(got > 0)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some), pa.string()), pa.array(some.astype(np.int32)), pa.array(got[some])], ["lang", "piece", "e"])
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * (len(some) + 1), pa.string()), pa.array(np.r_[-1, some].astype(np.int32)), pa.array(np.r_[likely, got[some]])], ["lang", "piece", "e"])
 
     return run
 
 
-def train(docs: DataFrame, pieces: list[str], rounds: int = 2, smooth: float = 0.1) -> dict[str, np.ndarray]:
-    """Piece probabilities by language from ``docs`` (text, lang), all of them.  The driver gets a number a language and
-    piece, whatever the corpus."""
+def train(docs: DataFrame, pieces: list[str], rounds: int = 20, smooth: float = 0.1, close: float = 5e-3) -> dict[str, np.ndarray]:
+    """Piece probabilities by language from ``docs`` (text, lang), all of them.  Rounds end when the log-likelihood of all
+    words gains less than ``close`` of itself; a warning says so if ``rounds`` end before that.  The driver gets a number
+    a language and piece, whatever the corpus."""
     spark = docs.sparkSession
     types = docs.select("text", "lang").mapInArrow(_word_counts(), "lang string, word string, n long")
     types = settle(types.groupBy("lang", "word").agg(F.sum("n").alias("n")), "types")
     start = np.array([1.0, *(4.0 ** -len(p) for p in pieces[1:])])
     start[0] = start[1:].sum() * 1e-6
-    flat = np.r_[start / start.sum(), 0.0]
-    probs = {r["lang"]: flat for r in types.select("lang").distinct().collect()}
-    for _ in range(rounds):
+    probs = {r["lang"]: start / start.sum() for r in types.select("lang").distinct().collect()}
+    was = None
+    for _ in range(rounds if probs else 0):
         got = types.mapInArrow(_expected_counts(pieces, spark.sparkContext.broadcast(probs)), "lang string, piece int, e double")
         table = got.groupBy("lang", "piece").agg(F.sum("e").alias("e")).toArrow()
-        langs = np.array(table.column("lang").to_pylist(), object)
+        langs, piece, e = np.array(table.column("lang").to_pylist(), object), table.column("piece").to_numpy(), table.column("e").to_numpy()
+        likely = float(e[piece < 0].sum())
         for lang in probs:
-            mine = langs == lang
-            e = np.full(len(pieces), smooth)
-            e[table.column("piece").to_numpy()[mine]] += table.column("e").to_numpy()[mine]
-            probs[lang] = np.r_[e / e.sum(), 0.0]
+            mine = (langs == lang) & (piece >= 0)
+            count = np.full(len(pieces), smooth)
+            count[piece[mine]] += e[mine]
+            probs[lang] = count / count.sum()
+        if was is not None and likely - was <= close * abs(was):
+            return probs
+        was = likely
+    if probs and rounds > 1:
+        warnings.warn(f"language identification: the likelihood still gains after {rounds} rounds", stacklevel=2)
     return probs
 
 
@@ -241,13 +351,7 @@ def _predict(pieces: list[str], langs: list[str], probs, most: int = 1 << 20):
                 known[inside] = keys[spot[inside]] == uniq[inside]
                 if not known.all():
                     data, new = buf.tobytes(), np.flatnonzero(~known)
-                    cut = [_segments(_lowered(data, starts[i], ends[i])) for i in at[new].tolist()]
-                    words = [s for c in cut for s in c]
-                    score = np.zeros((len(words), len(langs)))
-                    for r, length, ids in find.grid(words):
-                        score[r] = np.log(np.maximum(_forward(p, length, ids)[np.arange(len(r)), length], 1e-300))
-                    per = np.fromiter(map(len, cut), np.int64, len(cut))
-                    score = np.add.reduceat(score, np.cumsum(per) - per, axis=0)
+                    score = log_scores(p, find, ["▁" + _lowered(data, starts[i], ends[i]) for i in at[new].tolist()])
                     keys, rows = np.concatenate([keys, uniq[new]]), np.concatenate([rows, score])
                     order = np.argsort(keys, kind="stable")
                     keys, rows = keys[order], rows[order]
