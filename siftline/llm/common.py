@@ -38,7 +38,17 @@ def settle(df: DataFrame, name: str = "table") -> DataFrame:
     spark = df.sparkSession
     path = work_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.settled_at = path
+    return out
+
+
+def forget(*tables: DataFrame | None) -> None:
+    """Delete the files of settled tables that no result needs any more."""
+    for t in tables:
+        path = getattr(t, "settled_at", None)
+        if path:
+            drop_path(t.sparkSession, path)
 
 
 def drop_path(spark: SparkSession, path: str) -> None:
@@ -58,7 +68,7 @@ def semi(big: DataFrame, keys: DataFrame, on: str, n_keys: int, key_bytes: int =
 
 def small_batches(spark: SparkSession, rows: int = 1000, size: str = "8m") -> None:
     """Bound the Arrow batches that go to Python, by rows and bytes, where the session still has Spark's defaults: a batch is
-    held several times on its way."""
+    held several times on its way.  The registered queries call this; operators leave the session's settings alone."""
     for key, default, value in (("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", str(rows)), ("spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", size)):
         if spark.conf.get(key) == default:
             spark.conf.set(key, value)
@@ -70,6 +80,5 @@ def parts(spark: SparkSession) -> int:
 
 def as_documents(docs: DataFrame, columns: dict[str, str]) -> DataFrame:
     """Only the named columns, cast; a missing one is null.  Extra columns, whatever their names, are left behind."""
-    small_batches(docs.sparkSession)
     have = set(docs.columns)
     return docs.select(*(docs[c].cast(t).alias(c) if c in have else F.lit(None).cast(t).alias(c) for c, t in columns.items()))
