@@ -2,17 +2,18 @@
 
 Domains are those of the labels table: low_quality (quality 0), toxic (quality 1, toxic 1) and clean (both fine).  A
 softmax classifier fitted on a bounded sample of labelled rows gives each document a posterior p over domains.  With n
-tokens, rates r >= 0 are fitted to minimise the squared distance of the totals sum(r * n * p) from the targets,
-starting at 1, so that what needs no change keeps its rate.
-
-The fit is projected gradient descent: each step moves every rate against the gradient, in the metric of document tokens
-and with the totals weighted by their inverse second moments (so any step below 2 is safe), and clips at 0 and ``most``.  A step is one aggregate
-over a narrow table and hands the driver one number a domain; a document's rate follows from the few steps so far, so
-no table is rewritten.
-
-Edge cases: null and empty texts have no tokens, take the domain of the prior and change no total; with labels of one domain
-or none, all rates are 1; rows that repeat an id get rates of their own; an empty table gives an empty result;
-extra columns are ignored (the pipeline stage keeps the columns of documents).
+tokens of a public tokenizer, rates r >= 0 are fitted to minimise the squared distance of the totals sum(r * n * p) from the
+targets, plus a small ridge towards 1, so that what needs no change keeps its rate: without it a target beyond reach would
+be chased by trading clean documents for other clean documents that look a little more like the scarce domain.
+
+The fit is projected gradient descent in the metric of document tokens: each step moves every rate against its document's
+gradient p . miss and clips it at 0 and ``most``.  Documents whose posteriors agree to 1 / ``grid`` move alike, so one
+distributed aggregate gives the token masses of at most (grid + 1) ** 2 cells, whatever the corpus, and all steps run on
+those; as a cell's masses are the exact sums over its documents, so are the totals that the rates reach.
+
+Edge cases: null and empty texts have no tokens, take the domain of the prior and change no total; a very long text is one
+document with one rate; with labels of one domain or none, all rates are 1; rows that repeat an id get rates of their own,
+and equal rows equal ones; an empty table gives an empty result; extra columns are ignored (the pipeline stage keeps the columns of documents).
 """
 
 from __future__ import annotations
@@ -24,14 +25,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_documents, settle
-from .features import STYLES, Adam, choose_vocabulary, labelled_sample, sample_matrix, sparse
+from .common import as_documents, forget, settle
+from .features import SAMPLE, STYLES, Adam, choose_vocabulary, labelled_sample, sample_matrix, sparse
+from .packing import vocabulary_path, worker_encoder
 from .words import text_chunks
 
 DOMAINS = ("clean", "low_quality", "toxic")
 #: Shares of the mix, and its size as a multiple of the expected clean tokens.
 TARGETS = {"clean": 0.97, "low_quality": 0.02, "toxic": 0.01}
-VOCABULARY, MOST = 512, 4.0
+VOCABULARY, MOST, GRID, RIDGE = 512, 4.0, 64, 1e-3
 
 
 def domain_of() -> Column:
@@ -53,103 +55,94 @@ def fit_softmax(rows, cols, vals, label: np.ndarray, width: int, classes: int, s
     return w
 
 
-def _posteriors(model):
+def _posteriors(model, path: str):
+    """Tokens, and a posterior a domain; without a model all is of the first domain."""
+
     def run(batches):
-        vocab, w = model.value
+        enc = worker_encoder(path)
         for batch in batches:
             for lo, hi, buf, off in text_chunks(batch.column(1)):
-                rows, cols, vals, counts = sparse(buf, off, vocab)
-                s = np.stack([np.bincount(rows, vals * w[cols, k], minlength=hi - lo) for k in range(w.shape[1])], 1)
-                s = s * (counts > 0)[:, None] + w[-1]
-                p = np.exp(s - s.max(1, keepdims=True))
-                p /= p.sum(1, keepdims=True)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(2).slice(lo, hi - lo), pa.array(counts), *(pa.array(p[:, k]) for k in range(w.shape[1]))], ["doc_id", "salt", "n_tokens", *(f"p_{d}" for d in DOMAINS)])
+                n_tokens = enc.encode(buf, off)[1]
+                p = np.zeros((hi - lo, len(DOMAINS)))
+                p[:, 0] = 1
+                if model is not None:
+                    vocab, w = model.value
+                    rows, cols, vals, counts = sparse(buf, off, vocab)
+                    s = np.stack([np.bincount(rows, vals * w[cols, k], minlength=hi - lo) for k in range(w.shape[1])], 1)
+                    s = s * (counts > 0)[:, None] + w[-1]
+                    p = np.exp(s - s.max(1, keepdims=True))
+                    p /= p.sum(1, keepdims=True)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(2).slice(lo, hi - lo), pa.array(n_tokens), *(pa.array(p[:, k]) for k in range(p.shape[1]))], ["doc_id", "salt", "n_tokens", *(f"p_{d}" for d in DOMAINS)])
 
     return run
 
 
-def posteriors(docs: DataFrame, labels: DataFrame, vocabulary: int = VOCABULARY) -> DataFrame | None:
-    """doc_id, salt (a hash of the row), n_tokens (words) and a posterior a domain; None if labels show fewer than two domains."""
+def posteriors(docs: DataFrame, labels: DataFrame, vocabulary: int = VOCABULARY, sample: int = SAMPLE, path: str | None = None) -> tuple[DataFrame, bool]:
+    """doc_id, salt (a hash of the row), n_tokens (of the tokenizer at ``path``) and a posterior a domain; and whether a
+    classifier was fitted, as labels of fewer than two domains teach nothing."""
     docs = as_documents(docs, {"doc_id": "long", "text": "string"})
-    known = labelled_sample(docs, as_documents(labels, {"doc_id": "long", "quality": "int", "toxic": "int"}), domain_of())
-    if known.select("label").distinct().count() < 2:
-        return None
-    vocab = choose_vocabulary(known, len(DOMAINS), vocabulary)
-    rows, cols, vals, label = sample_matrix(known, vocab)
-    w = fit_softmax(rows, cols, vals, label, len(vocab) + STYLES, len(DOMAINS))
-    model = docs.sparkSession.sparkContext.broadcast((vocab, w))
+    known = labelled_sample(docs, as_documents(labels, {"doc_id": "long", "quality": "int", "toxic": "int"}), domain_of(), sample)
+    model = None
+    if known.select("label").distinct().count() > 1:
+        vocab = choose_vocabulary(known, len(DOMAINS), vocabulary)
+        rows, cols, vals, label = sample_matrix(known, vocab)
+        w = fit_softmax(rows, cols, vals, label, len(vocab) + STYLES, len(DOMAINS))
+        model = docs.sparkSession.sparkContext.broadcast((vocab, w))
+    forget(known)
     schema = "doc_id long, salt long, n_tokens long, " + ", ".join(f"p_{d} double" for d in DOMAINS)
-    return docs.withColumn("salt", F.xxhash64("doc_id", "text")).mapInArrow(_posteriors(model), schema)
-
-
-def rate_after(steps: list[np.ndarray], most: float = MOST) -> Column:
-    """A document's rate after the steps taken so far."""
-    r = F.lit(1.0)
-    for y in steps:
-        move = sum((F.col(f"p_{d}") * float(y[k]) for k, d in enumerate(DOMAINS)), F.lit(0.0))
-        r = F.greatest(F.lit(0.0), F.least(F.lit(most), r - move))
-    return r
-
-
-def fit_rates(table: DataFrame, targets: dict[str, float], rounds: int = 30, close: float = 1e-3, most: float = MOST) -> list[np.ndarray]:
-    """Steps of the projected gradient for ``table`` (n_tokens, posteriors), towards token totals; it ends when no total
-    misses its target by more than ``close`` of all targets.  Second moments are taken over the documents that are not
-    held at a bound; a step that makes the miss larger is followed by one with the moments of all."""
-    return _fit(table, targets, rounds, close, most)[0]
-
-
-def _fit(table: DataFrame, targets: dict[str, float], rounds: int, close: float, most: float) -> tuple[list[np.ndarray], dict[str, float]]:
-    """The steps, and by how much the last totals seen are above their targets where they are not close; rates after the
-    steps give these totals."""
-    p = [F.col(f"p_{d}") for d in DOMAINS]
-    pairs = [(i, j) for i in range(len(p)) for j in range(i, len(p))]
-    want, steps, least = np.array([targets[d] for d in DOMAINS]), [], np.inf
-    for left in range(rounds, -1, -1):
-        rated = table.withColumn("r", rate_after(steps, most))
-        free = F.col("n_tokens") * ((F.col("r") > 0) & (F.col("r") < most)).cast("int")
-        row = rated.agg(
-            *(F.sum(F.col("n_tokens") * x * F.col("r")) for x in p),
-            *(F.sum(F.col("n_tokens") * p[i] * p[j]) for i, j in pairs),
-            *(F.sum(free * p[i] * p[j]) for i, j in pairs),
-        ).first()
-        if row[0] is None or not row[len(p)]:
-            return steps, {}
-        got = np.array(row, float)
-        miss, size = got[: len(p)] - want, np.abs(got[: len(p)] - want).max()
-        if size <= close * want.sum():
-            return steps, {}
-        if not left:
+    return docs.withColumn("salt", F.xxhash64("doc_id", "text")).mapInArrow(_posteriors(model, path or vocabulary_path()), schema), model is not None
+
+
+def fit_rates(mass: np.ndarray, targets: np.ndarray, most: float = MOST, ridge: float = RIDGE, steps: int = 50_000, close: float = 1e-9) -> np.ndarray:
+    """Rates in [0, most] by accelerated projected gradient steps from 1; ``mass`` has a row a cell and its expected tokens of
+    each domain.  They minimise the squared distance of ``rates @ mass`` from ``targets``, in shares of all targets, plus
+    ``ridge`` times the mean squared distance of a token's rate from 1."""
+    tokens = mass.sum(1)
+    p = mass / np.maximum(tokens, 1e-300)[:, None]
+    weight = tokens.sum() / max(targets.sum() ** 2, 1e-300)
+    step = 1 / (weight * np.linalg.eigvalsh(p.T @ mass)[-1] + ridge)
+    rate = ahead = np.ones(len(mass))
+    t = 1.0
+    for _ in range(steps):
+        new = np.clip(ahead - step * (weight * (p @ (ahead @ mass - targets)) + ridge * (ahead - 1)), 0, most)
+        if tokens @ ((ahead - new) * (new - rate)) > 0:
+            t = 1.0  # the momentum points uphill
+        more = (1 + np.sqrt(1 + 4 * t * t)) / 2
+        moved = np.abs(new - rate).max(initial=0)
+        rate, ahead, t = new, new + (t - 1) / more * (new - rate), more
+        if moved < close:
             break
-        part = got[len(p) : len(p) + len(pairs)] if size > least else got[len(p) + len(pairs) :]
-        least = min(least, size)
-        h = np.zeros((len(p), len(p)))
-        for (i, j), v in zip(pairs, part, strict=True):
-            h[i, j] = h[j, i] = v
-        steps.append(np.linalg.pinv(h + np.eye(len(p)) * 1e-6 * np.trace(h)) @ miss)
-    return steps, dict(zip(DOMAINS, miss.tolist(), strict=True))
+    return rate
 
 
-def mix(docs: DataFrame, labels: DataFrame, shares: dict[str, float] | None = None, most: float = MOST) -> DataFrame:
+def mix(docs: DataFrame, labels: DataFrame, shares: dict[str, float] | None = None, most: float = MOST, sample: int = SAMPLE, path: str | None = None, grid: int = GRID) -> DataFrame:
     """doc_id, salt, n_tokens, posteriors, rate and copies.  The mix is as large as the expected clean tokens divided by the
     clean share; a domain that has less than its share is raised, by rates up to ``most``.  Where the bounds keep totals from
-    their targets, a warning names what is missed.  ``copies`` rounds a rate up or down by the row's hash, so that expected totals hold."""
+    their targets, a warning names what is missed.  ``copies`` rounds a rate up or down by the row's hash, so that expected
+    totals hold.  The classifier is fitted on at most ``sample`` labelled rows."""
     shares = shares or TARGETS
-    table = posteriors(docs, labels)
-    if table is None:
-        docs = as_documents(docs, {"doc_id": "long", "text": "string"})
-        words = F.size(F.filter(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != ""))
-        flat = [F.lit(float(k == 0)).alias(f"p_{d}") for k, d in enumerate(DOMAINS)]
-        return docs.select("doc_id", F.xxhash64("doc_id", "text").alias("salt"), words.cast("long").alias("n_tokens"), *flat, F.lit(1.0).alias("rate"), F.lit(1).alias("copies"))
+    table, fitted = posteriors(docs, labels, sample=sample, path=path)
+    if not fitted:
+        return table.withColumns({"rate": F.lit(1.0), "copies": F.lit(1)})
     table = settle(table, "posteriors")
-    clean = table.agg(F.sum(F.col("n_tokens") * F.col(f"p_{DOMAINS[0]}"))).first()[0] or 0.0
-    total = clean / shares[DOMAINS[0]]
-    targets = {d: total * shares[d] for d in DOMAINS}
-    steps, missed = _fit(table, targets, 30, 1e-3, most)
-    if missed:
-        said = ", ".join(f"{d} {targets[d] + missed[d]:.0f} of {targets[d]:.0f}" for d in DOMAINS)
+    cell = [F.round(F.col(f"p_{d}") * grid).cast("int").alias(f"cell_{d}") for d in DOMAINS[1:]]
+    table = table.withColumns({f"cell_{d}": c for d, c in zip(DOMAINS[1:], cell, strict=True)})
+    at = [f"cell_{d}" for d in DOMAINS[1:]]
+    held = table.groupBy(*at).agg(*(F.sum(F.col("n_tokens") * F.col(f"p_{d}")).alias(d) for d in DOMAINS)).orderBy(*at).toArrow()
+    if not len(held):
+        return table.drop(*at).withColumns({"rate": F.lit(1.0), "copies": F.lit(1)})
+    mass = np.stack([held.column(d).to_numpy() for d in DOMAINS], 1)
+    whole = mass[:, 0].sum() / shares[DOMAINS[0]]
+    targets = np.array([whole * shares[d] for d in DOMAINS])
+    rates = fit_rates(mass, targets, most)
+    got = rates @ mass
+    if np.abs(got - targets).max() > 1e-3 * targets.sum():
+        said = ", ".join(f"{d} {a:.0f} of {b:.0f}" for d, a, b in zip(DOMAINS, got, targets, strict=True))
         warnings.warn(f"mixing: token totals miss their targets with rates of 0 to {most:g}: {said}", stacklevel=2)
+    cells = zip(*(held.column(c).to_pylist() for c in at), rates.tolist(), strict=True)
+    rated = docs.sparkSession.createDataFrame(list(cells), ", ".join(f"{c} int" for c in at) + ", rate double")
     draw = F.pmod(F.col("salt"), F.lit(1 << 20)) / (1 << 20)
-    return table.withColumn("rate", rate_after(steps, most)).withColumn("copies", F.floor(F.col("rate") + draw).cast("int"))
+    return table.join(F.broadcast(rated), at).drop(*at).withColumn("copies", F.floor(F.col("rate") + draw).cast("int"))
 
 
 def op10_mixing(spark, sf_dir: str) -> DataFrame:

@@ -5,10 +5,11 @@ severity is the sum of these probabilities.  The labels table says only toxic or
 0 for documents labelled not toxic; those labelled toxic get 1, 2 or 3 by the thirds of how often words that mark toxic
 documents (document counts at least ``MARK`` times as likely in toxic ones) occur in them.
 
-Vocabulary and weights are fitted on a bounded sample of labelled rows (``features.SAMPLE``); every document is scored
+Vocabulary and weights are fitted on a bounded sample of labelled rows (``sample``); every document is scored
 over its whole text.
 
-Edge cases: null and empty texts have severity 0 and are not toxic; without labels of both kinds nothing can be
+Edge cases: null and empty texts have severity 0 and are not toxic; a very long text is scored whole; a probability that
+ties with one half is toxic, and of grades that tie the lowest is taken; without labels of both kinds nothing can be
 learned and all severities are 0; rows that repeat an id are scored one by one; an empty table gives an empty
 result; extra columns are ignored.
 """
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import as_documents
-from .features import STYLES, Adam, choose_vocabulary, labelled_sample, sample_matrix, sparse
+from .features import SAMPLE, STYLES, Adam, choose_vocabulary, labelled_sample, sample_matrix, sparse
 from .words import text_chunks
 
 GRADES, MARK, VOCABULARY = 4, 5.0, 256
@@ -48,7 +49,7 @@ def derived_grades(rows, cols, vals, toxic: np.ndarray, width: int) -> np.ndarra
 
 
 def fit(rows, cols, vals, grades: np.ndarray, width: int, steps: int = 300, ridge: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and ascending thresholds.  Both classes of every threshold weigh the same, as toxic rows are few."""
+    """Weights and ascending thresholds, after ``steps`` (to stop early keeps weights small).  Both classes of every threshold weigh the same, as toxic rows are few."""
     n, k = len(grades), GRADES - 1
     w, raw = np.zeros(width), np.r_[0.0, np.zeros(k - 1)]  # t_0, then logarithms of the gaps
     above = grades[:, None] > np.arange(k)
@@ -86,11 +87,11 @@ def _score(model):
     return run
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, vocabulary: int = VOCABULARY) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, vocabulary: int = VOCABULARY, sample: int = SAMPLE) -> DataFrame:
     """doc_id, expected_severity (0 to 3), severity (the likeliest grade; 0 where not toxic), p_toxic and toxic."""
     docs = as_documents(docs, {"doc_id": "long", "text": "string"})
     labels = as_documents(labels, {"doc_id": "long", "toxic": "int"})
-    known = labelled_sample(docs, labels, F.when(F.col("toxic").isNotNull(), (F.col("toxic") > 0).cast("int")))
+    known = labelled_sample(docs, labels, F.when(F.col("toxic").isNotNull(), (F.col("toxic") > 0).cast("int")), sample)
     if known.select("label").distinct().count() < 2:
         return docs.select("doc_id", F.lit(0.0).alias("expected_severity"), F.lit(0).alias("severity"), F.lit(0.0).alias("p_toxic"), F.lit(False).alias("toxic"))
     vocab = choose_vocabulary(known, 2, vocabulary)
