@@ -2,12 +2,13 @@
 
 Archives are written by Spark's text writer: a record's text is its value, and the two line breaks that end a record
 are the line separator, so the files are WARC 1.1 (gzip by default) on any file system that Spark can write.  They
-are read as binary files and parsed by Content-Length, never by searching payloads for separators.
+are read as binary files and parsed by Content-Length, never by searching payloads for separators.  A file holds at
+most ``FILE_BYTES`` of records, or one larger record: a record must fit in a cell (2 GiB), as must its page's html.
 
 Resolution shuffles headers only.  Records with equal payloads of at least ``least`` bytes meet by digest; the one with
 the largest page id stays a response and the others become revisits of it.  The group's answer is aggregated before
 the shuffle, so a payload that a third of all pages share costs one row a task.  Deduplicated archives are written
-with fresh headers.
+with fresh headers: record ids of their own, the time of the call, and references to the new ids.
 
 Edge cases: null html counts as empty, null url is an empty target; line breaks in a url are percent-encoded; a null
 page id never becomes the target while another is there; rows that repeat page id and payload are all responses or
@@ -19,14 +20,17 @@ from __future__ import annotations
 import hashlib
 import re
 import zlib
+from datetime import UTC, datetime
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, as_documents, settle, work_path
+from .common import BROADCAST_BYTES, as_documents, drop_path, settle, work_path
 
 CRLF = "\r\n"
+#: Most bytes of a file before compression, and the size up to which records are of the smallest order.
+FILE_BYTES, SMALLEST = 64 << 20, 16 << 10
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 PARSED = "record_id string, record_type string, page_id long, uri string, digest string, payload_bytes long, refers_record string, sha256 string, payload binary"
 
@@ -58,10 +62,16 @@ def record_text(kind: Column, date: str) -> Column:
     )
 
 
-def write_archives(records: DataFrame, path: str, kind: Column, date: str, compression: str = "gzip", records_a_file: int = 4096) -> None:
-    """Write ``records`` to ``path``; a file holds at most ``records_a_file`` records, as each is read as a whole."""
-    text = records.select(record_text(kind, date).alias("value"))
-    text.write.option("lineSep", CRLF * 2).option("compression", compression).option("maxRecordsPerFile", records_a_file).text(path)
+def write_archives(records: DataFrame, path: str, kind: Column, date: str, compression: str = "gzip", file_bytes: int = FILE_BYTES) -> None:
+    """Write ``records`` below ``path``.  Each file is read as a whole, so records of one order of size share files of at most
+    ``file_bytes`` (or of one larger record), in a folder an order of size: at most a scan for each order that occurs."""
+    order = F.greatest(F.ceil(F.log(8.0, (F.col("payload_bytes") + 2 * F.octet_length("uri") + 1024) / SMALLEST)), F.lit(0)).cast("int")
+    held = records.where(F.col("payload_bytes").isNotNull())
+    found = [r[0] for r in held.select(order.alias("o")).distinct().collect()]  # a dozen at most
+    for o in sorted(found) or [0]:
+        text = held.where(order == o).select(record_text(kind, date).alias("value"))
+        most = max(1, int(file_bytes // (SMALLEST * 8**o)))
+        text.write.option("lineSep", CRLF * 2).option("compression", compression).option("maxRecordsPerFile", most).text(f"{path}/size-{o}")
 
 
 def pages_to_records(pages: DataFrame) -> DataFrame:
@@ -69,9 +79,18 @@ def pages_to_records(pages: DataFrame) -> DataFrame:
     html = F.coalesce("html", F.lit(""))
     uri = F.replace(F.replace(F.coalesce("url", F.lit("")), F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
     p = p.select("page_id", uri.alias("uri"), html.alias("payload"), F.sha1(html.cast("binary")).alias("digest"), F.octet_length(html).cast("long").alias("payload_bytes"))
-    key = F.md5(F.concat_ws("\0", F.coalesce(F.col("page_id").cast("string"), F.lit("-")), "uri", "digest").cast("binary"))
-    uuid = F.concat(F.lit("<urn:uuid:"), F.regexp_replace(key, "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5"), F.lit(">"))
-    return p.withColumns({"record_id": uuid, "target_record": F.lit(""), "target_uri": F.lit("")})
+    named = F.concat_ws("\0", F.coalesce(F.col("page_id").cast("string"), F.lit("-")), "uri", "digest")
+    return p.withColumns({"record_id": record_uuid(named), "target_record": F.lit(""), "target_uri": F.lit("")})
+
+
+def record_uuid(named: Column) -> Column:
+    """A record id that follows from what it names, so that a task that runs again writes the same one."""
+    return F.concat(F.lit("<urn:uuid:"), F.regexp_replace(F.md5(named.cast("binary")), "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5"), F.lit(">"))
+
+
+def fresh_id(record_id: Column) -> Column:
+    """The id of the record that takes a record's place in deduplicated archives."""
+    return record_uuid(F.concat(F.lit("deduplicated\0"), record_id))
 
 
 def parse_archive(data: bytes):
@@ -133,7 +152,7 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 def read_archives(spark, path: str, with_payload: bool = False) -> DataFrame:
     """Records of the archives below ``path``; response payloads are held against their digests."""
-    files = spark.read.format("binaryFile").load(path).select("content")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("content")
     return files.mapInArrow(_parsed(with_payload), PARSED)
 
 
@@ -149,16 +168,20 @@ def resolve_revisits(spark, source: str, target: str, date: str, least: int = 10
     full = read_archives(spark, source, with_payload=True).drop("refers_record")
     small = revisits.count() * 512 <= BROADCAST_BYTES
     full = full.join(F.broadcast(revisits) if small else revisits, "record_id", "left")
+    full = full.withColumns({"record_id": fresh_id(F.col("record_id")), "target_record": fresh_id(F.col("target_record"))})
     write_archives(full, target, F.when(F.col("target_record").isNotNull(), "revisit").otherwise("response"), date)
 
 
-def dedup_pages(pages: DataFrame, least: int = 1000, date: str = "2026-01-01T00:00:00Z") -> tuple[DataFrame, str]:
-    """Write ``pages`` as archives, resolve revisits, and read the deduplicated archives: their records and their folder."""
+def dedup_pages(pages: DataFrame, least: int = 1000, date: str | None = None) -> tuple[DataFrame, str]:
+    """Write ``pages`` as archives, resolve revisits, and read the deduplicated archives: their records and their folder.
+    Records carry ``date``, or the time of the call."""
     spark = pages.sparkSession
+    date = date or datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
     raw, clean = work_path(spark, "warc-raw"), work_path(spark, "warc")
     write_archives(pages_to_records(pages), raw, F.lit("response"), date)
     resolve_revisits(spark, raw, clean, date, least)
     back = settle(read_archives(spark, clean).drop("payload", "sha256"), "records")
+    drop_path(spark, raw)
     original = back.where("record_type = 'response'").groupBy("record_id").agg(F.max("page_id").alias("refers_to")).withColumnRenamed("record_id", "refers_record")
     revisits = back.where("record_type = 'revisit'").join(original, "refers_record", "left")
     responses = back.where("record_type = 'response'").withColumn("refers_to", F.lit(None).cast("long"))
