@@ -7,8 +7,9 @@ by their sorted remainders, which loses nothing.  Fingerprints counted more than
 verification, where texts are grouped by their normalised bytes, not by any hash.
 
 Edge cases: a null text counts as empty, and empty texts are equal to each other; a null id is never preferred
-while another is there; rows that repeat an id are rows of their own and all count in ``group_size``; an empty
-table gives an empty result; extra columns are ignored.
+while another is there; a very long text is compared whole; texts of equal length tie, and the smallest id stays; rows
+that repeat an id are rows of their own and all count in ``group_size``; an empty table gives an empty result; extra
+columns are ignored.
 """
 
 from __future__ import annotations

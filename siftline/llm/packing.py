@@ -4,10 +4,12 @@ Only lengths matter for packing, and lengths are integers from 1 to the sequence
 number of pieces of each length (at most ``size`` rows, whatever the corpus) and packs whole classes: a pattern
 is the list of lengths in a bin, with the number of bins that look so.  Best fit decreasing over classes gives
 the first solution; the local search then empties underfull bins, all of them and whole patterns at once, by moves and
-exchanges of one or two items, each raising the sum of squared fills, until none does.  Pieces get ranks within their length, salted so that a length that a third of
-all rows share is numbered by many tasks, and a rank's place in a pattern gives sequence and offset.
+exchanges of one or two items, each raising the sum of squared fills, until none does.  Pieces get ranks within their
+length, salted so that a length that a third of all rows share is numbered by many tasks, and a rank's place in a
+pattern gives sequence and offset.
 
-Edge cases: a null text counts as empty (its one token is the end token); rows that repeat an id are packed as rows
+Edge cases: a null text counts as empty (its one token is the end token); a very long text is cut into as many pieces as
+it needs; pieces of one length are alike to the search, and go by id and piece; rows that repeat an id are packed as rows
 of their own; an empty table gives an empty result; extra columns are ignored.
 """
 

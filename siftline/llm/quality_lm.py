@@ -11,7 +11,8 @@ with the counts, and the answers come back to the block's token ids, which trave
 only (g and P1) has a row a piece of the vocabulary, so it is broadcast.  A document passes if its perplexity is at most
 a quantile of the left-out trusted documents of its language.
 
-Edge cases: null and empty texts have no tokens, no perplexity, and do not pass; a null lang is a language of its own;
+Edge cases: null and empty texts have no tokens, no perplexity, and do not pass; a very long text is scored whole, in one
+block; a perplexity that ties with the threshold passes; a null lang is a language of its own;
 a language without left-out trusted documents takes the quantile of all of them; without trusted text nothing is judged
 and all documents with words pass; rows that repeat an id are scored one by one; an empty table gives an empty result;
 extra columns are ignored.
@@ -19,9 +20,10 @@ extra columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -78,12 +80,20 @@ def _counted(path: str, start: int):
     return run
 
 
+def _block_name(rows: list, ids: np.ndarray, counts: np.ndarray) -> int:
+    """A block is named by what is in it: two runs that cut the input differently have no name in common, and so can never
+    take each other's answers."""
+    h = hashlib.blake2b(ids.tobytes(), digest_size=8)
+    h.update(counts.tobytes())
+    h.update(str(rows[0].column(0)[0].as_py()).encode())
+    return int.from_bytes(h.digest(), "little", signed=True)
+
+
 def _asked(path: str, start: int):
     def run(batches):
-        part = TaskContext.get().partitionId()
-        for k, (_, ids, counts) in enumerate(_blocks(batches, path, BLOCK, 1)):
+        for rows, ids, counts in _blocks(batches, path, BLOCK, 1):
             key = np.unique(_bigrams(ids, counts, start))
-            block = pa.array(np.full(len(key), part << 24 | k))
+            block = pa.array(np.full(len(key), _block_name(rows, ids, counts)))
             yield pa.RecordBatch.from_arrays([block, pa.array((key >> _HALF).astype(np.int32)), pa.array((key & np.uint64(0xFFFFFFFF)).astype(np.int32))], ["block", "v", "w"])
 
     return run
@@ -93,13 +103,12 @@ def _packed(path: str):
     def run(batches):
         import zstandard
 
-        part = TaskContext.get().partitionId()
-        for k, (rows, ids, counts) in enumerate(_blocks(batches, path, BLOCK, 1)):
+        for rows, ids, counts in _blocks(batches, path, BLOCK, 1):
             table = pa.Table.from_batches(rows).select([0, 2]).combine_chunks()
             blob = zstandard.ZstdCompressor(level=9).compress(ids.astype("<u4" if ids.dtype != np.uint16 else "<u2").tobytes())
             one = lambda c: pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), c)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([part << 24 | k]), one(table.column(0).combine_chunks()), one(table.column(1).combine_chunks()), one(pa.array(counts.astype(np.int32))), pa.array([ids.dtype.itemsize], pa.int32()), pa.array([blob], pa.binary())],
+                [pa.array([_block_name(rows, ids, counts)]), one(table.column(0).combine_chunks()), one(table.column(1).combine_chunks()), one(pa.array(counts.astype(np.int32))), pa.array([ids.dtype.itemsize], pa.int32()), pa.array([blob], pa.binary())],
                 ["block", "doc_id", "lang", "n", "width", "ids"],
             )
 
@@ -122,6 +131,8 @@ def _scored(tables, start: int):
                 key = _bigrams(ids, n, start)
                 total = np.zeros(len(n))
                 if len(ids):
+                    if not cols["answers"][r].is_valid:
+                        raise ValueError("a block has no answers: the input must give the same rows in every run")
                     answers = cols["answers"][r].values
                     known = answers.field("v").to_numpy().astype(np.uint64) << _HALF | answers.field("w").to_numpy().astype(np.uint64)
                     seen = answers.field("p").to_numpy()

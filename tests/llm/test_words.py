@@ -87,5 +87,5 @@ def test_packing_plan(lengths):
 
 def test_local_search_empties_bins():
     bins = [[60, 30], [50, 40], [20, 20]]  # 220 fit in three; four bins below hold what three can
-    assert len(packing.local_search([[70, 25], [65, 30], [35], [5, 30, 40]], 100)) == 3
-    assert sorted(sum(packing.local_search(bins, 100), [])) == sorted(sum(bins, []))
+    assert sum(n for _, n in packing.local_search([((70, 25), 1), ((65, 30), 1), ((35,), 1), ((5, 30, 40), 1)], 100)) == 3
+    assert sorted(x for p, n in packing.local_search([(tuple(b), 1) for b in bins], 100) for x in p * n) == sorted(sum(bins, []))
