@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column
@@ -21,6 +22,18 @@ CANDIDATE_CLASSES = ["APPLICATION", "GRAPHQL", "PARAMETERIZED_NAVIGATION", "AUTH
 QUERY_CLASSES = CANDIDATE_CLASSES[:3]
 
 
+#: Phrases in a lower-case path, or host, by what they say of a request.
+DEVELOPMENT = ["__nextjs", "webpack-hmr", "sockjs-node"]
+FRAMEWORK_START, FRAMEWORK = "/_next/", ["/_rsc"]
+ANALYTICS, ANALYTICS_HOSTS = ["analytics", "telemetry"], ["google-analytics", "segment."]
+SESSION, SESSION_END = ["refresh-token", "refresh_token", "/session/"], "/session"
+RECOVERY_API = ["forgot-password", "reset-password", "recover"]
+AUTH_PATHS = ["login", "signin", "oauth", "callback"]
+LOGOUT = ["logout", "session/delete", "device/revoke"]
+RECOVERY = ["forgot", "reset", "password/change"]
+ACCOUNT = ["register", "signup", "account/create"]
+
+
 def has(text: Column, *parts: str) -> Column:
     out = F.lit(False)
     for x in parts:
@@ -32,12 +45,31 @@ def noise_name(name: Column) -> Column:
     return F.lower(name).rlike(rf"^(query\.)?(({'|'.join(NOISE)})\z|utm_)")
 
 
+#: How a name is brought to words with "_" between them: patterns that Java and Python read alike, before and after lowering.
+_END = r"(?![\s\S])"
+_SPLIT = [(f"^ +| +{_END}", ""), ("(?<=[a-z0-9])(?=[A-Z])", "_"), (r"[- .\[]", "_"), (r"\]", "")]
+_TRIM = [(f"^_+|_+{_END}", ""), ("^x_", "")]
+_SENSITIVE = rf"(^|_)({'|'.join(SENSITIVE_WORDS)})(_|{_END})|{'|'.join(SENSITIVE_PARTS)}"
+
+
 def sensitive_name(name: Column) -> Column:
     """Whether a parameter, header or field name stands for a secret.  camelCase, dashes, dots and brackets count as word ends."""
-    n = F.regexp_replace(F.trim(name), "([a-z0-9])([A-Z])", "$1_$2")
-    n = F.lower(F.translate(n, "- .[]", "____"))
-    n = F.regexp_replace(F.regexp_replace(n, r"^_+|_+\z", ""), "^x_", "")
-    return n.rlike(rf"(^|_)({'|'.join(SENSITIVE_WORDS)})(_|\z)|{'|'.join(SENSITIVE_PARTS)}")
+    for pattern, to in _SPLIT:
+        name = F.regexp_replace(name, pattern, to)
+    name = F.lower(name)
+    for pattern, to in _TRIM:
+        name = F.regexp_replace(name, pattern, to)
+    return name.rlike(_SENSITIVE)
+
+
+def is_sensitive(name: str) -> bool:
+    """``sensitive_name`` of one text, for what walks a value in Python."""
+    for pattern, to in _SPLIT:
+        name = re.sub(pattern, to, name)
+    name = name.lower()
+    for pattern, to in _TRIM:
+        name = re.sub(pattern, to, name)
+    return re.search(_SENSITIVE, name) is not None
 
 
 def meaningful_query(pairs: Column) -> Column:
@@ -65,7 +97,7 @@ def is_graphql(p: Column, body: Column) -> Column:
 
 
 def auth_path(p: Column) -> Column:
-    return has(p, "login", "signin", "oauth", "callback")
+    return has(p, *AUTH_PATHS)
 
 
 def classify() -> Column:
@@ -82,16 +114,16 @@ def classify() -> Column:
     return (
         F.when(method == "OPTIONS", "PREFLIGHT")
         .when(~F.col("u_ok"), "UNKNOWN")
-        .when(has(p, "__nextjs", "webpack-hmr", "sockjs-node"), "DEVELOPMENT")
-        .when(p.startswith("/_next/") | F.exists(pairs, lambda x: x["k"] == "_rsc") | has(p, "/_rsc"), "FRAMEWORK")
+        .when(has(p, *DEVELOPMENT), "DEVELOPMENT")
+        .when(p.startswith(FRAMEWORK_START) | F.exists(pairs, lambda x: x["k"] == "_rsc") | has(p, *FRAMEWORK), "FRAMEWORK")
         .when(extension.isin(STATIC), "STATIC")
-        .when(has(p, "analytics", "telemetry") | has(F.col("u_host"), "google-analytics", "segment."), "ANALYTICS")
-        .when(has(p, "refresh-token", "refresh_token", "/session/") | p.endswith("/session"), "AUTH_SESSION")
+        .when(has(p, *ANALYTICS) | has(F.col("u_host"), *ANALYTICS_HOSTS), "ANALYTICS")
+        .when(has(p, *SESSION) | p.endswith(SESSION_END), "AUTH_SESSION")
         .when(is_graphql(p, F.col("body")), "GRAPHQL")
         .when(document & auth_path(p), "AUTH_PAGE")
         .when(document & wanted, "PARAMETERIZED_NAVIGATION")
         .when(document, "NAVIGATION")
-        .when(has(p, "forgot-password", "reset-password", "recover"), "AUTH_RECOVERY_API")
+        .when(has(p, *RECOVERY_API), "AUTH_RECOVERY_API")
         .when(auth_path(p), "AUTH_API")
         .when(method == "HEAD", "UNKNOWN")
         .when(wanted, "PARAMETERIZED_NAVIGATION")
@@ -100,6 +132,11 @@ def classify() -> Column:
     )
 
 
+def missing() -> Column:
+    """No request at all."""
+    return F.col("url").isNull() & F.col("method").isNull()
+
+
 def blocked() -> Column:
     return (F.col("source_type") == "cdp_policy_blocked") | (F.col("lifecycle_state") == "blocked_by_policy")
 
@@ -169,8 +206,25 @@ def graphql_rule(config: PolicyConfig, url: Column, name: Column) -> Column:
     return out
 
 
+#: The words that say why a policy rule decides.
+REASONS = {
+    "READ_ONLY": "read-only method",
+    "LOGOUT_BLOCKED": "logout disabled",
+    "RECOVERY_BLOCKED": "recovery disabled",
+    "ACCOUNT_CREATION_BLOCKED": "account creation disabled",
+    "FILE_UPLOAD_BLOCKED": "file uploads disabled",
+    "DELETE_BLOCKED": "destructive actions disabled",
+    "GRAPHQL_QUERY": "explicit read-only GraphQL rule",
+    "AUTH_EXACT": "exact active authentication request",
+    "MUTATION_BLOCKED": "mutations disabled",
+    "UNKNOWN_METHOD": "unknown non-read-only method",
+    "MUTATIONS_ENABLED": "mutations explicitly enabled",
+}
+
+
 def policy(config: PolicyConfig, active: Column | None = None, exact: Column | None = None, claimed: Column | None = None) -> Column:
-    """Struct action, rule_id of a row with method, url, headers and body."""
+    """Struct action, rule_id and reason of a row with method, url, headers and body.  ``active``, ``exact`` and ``claimed``
+    say of a login attempt whether it is under way, whether the request is exactly its own, and whether it has been used."""
     m, p = F.upper("method"), lower_path(F.col("url"))
     ct = header_value(F.col("headers"), "Content-Type")
     op = graphql_operation(ct, F.col("body"))
@@ -179,9 +233,9 @@ def policy(config: PolicyConfig, active: Column | None = None, exact: Column | N
     change = m.isin("POST", "PUT", "PATCH", "DELETE")
     rules = [
         (m.isin("GET", "HEAD", "OPTIONS"), "ALLOW", "READ_ONLY"),
-        (has(p, "logout", "session/delete", "device/revoke") & F.lit(not config.allow_logout), "BLOCK", "LOGOUT_BLOCKED"),
-        (has(p, "forgot", "reset", "password/change") & F.lit(not config.allow_recovery), "BLOCK", "RECOVERY_BLOCKED"),
-        (has(p, "register", "signup", "account/create") & F.lit(not config.allow_account_creation), "BLOCK", "ACCOUNT_CREATION_BLOCKED"),
+        (has(p, *LOGOUT) & F.lit(not config.allow_logout), "BLOCK", "LOGOUT_BLOCKED"),
+        (has(p, *RECOVERY) & F.lit(not config.allow_recovery), "BLOCK", "RECOVERY_BLOCKED"),
+        (has(p, *ACCOUNT) & F.lit(not config.allow_account_creation), "BLOCK", "ACCOUNT_CREATION_BLOCKED"),
         (has(F.lower(ct), "multipart") & F.lit(not config.allow_uploads), "BLOCK", "FILE_UPLOAD_BLOCKED"),
         ((m == "DELETE") & F.lit(not config.allow_destructive), "BLOCK", "DELETE_BLOCKED"),
         ((m == "POST") & (op == "query") & graphql_rule(config, F.col("url"), name), "ALLOW", "GRAPHQL_QUERY"),
@@ -189,10 +243,12 @@ def policy(config: PolicyConfig, active: Column | None = None, exact: Column | N
         (change & F.lit(not config.allow_mutations), "BLOCK", "MUTATION_BLOCKED"),
         (~change, "BLOCK", "UNKNOWN_METHOD"),
     ]
-    out = F.when(F.lit(False), F.struct(F.lit("").alias("action"), F.lit("").alias("rule_id")))
-    for test, action, rule in rules:
-        out = out.when(test, F.struct(F.lit(action).alias("action"), F.lit(rule).alias("rule_id")))
-    return out.otherwise(F.struct(F.lit("ALLOW").alias("action"), F.lit("MUTATIONS_ENABLED").alias("rule_id")))
+    answer = lambda action, rule: F.struct(F.lit(action).alias("action"), F.lit(rule).alias("rule_id"), F.lit(REASONS[rule]).alias("reason"))
+    (test, *first), *rest = rules
+    out = F.when(test, answer(*first))
+    for test, action, rule in rest:
+        out = out.when(test, answer(action, rule))
+    return out.otherwise(answer("ALLOW", "MUTATIONS_ENABLED"))
 
 
 def quality() -> list[Column]:

@@ -13,10 +13,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import jsontext
 from .classify import boundary, has, is_json_object, member, noise_name, sensitive_name
 from .urls import bad_escape, content_flags, header_value, query_pairs
 
-LEAVES = T.ArrayType(T.StructType([T.StructField(n, T.IntegerType() if n == "sample_length" else T.StringType()) for n in ("root", "path", "type", "sample_length")]))
+_LEAF = {"path": T.StringType(), "type": T.StringType(), "sample_length": T.IntegerType(), "name": T.StringType(), "blank": T.BooleanType()}
+LEAVES = T.ArrayType(T.StructType([T.StructField(n, t) for n, t in _LEAF.items()]))
 PARAMETER = "array<struct<source:string,path:string,type:string,sample_length:int,eligible:boolean>>"
 
 
@@ -59,14 +61,14 @@ def form_parameters(body: Column) -> Column:
 
 
 def multipart_parameters(body: Column, mark: Column) -> Column:
-    """Fields by name; files are named but never eligible; values are read up to 4097 bytes."""
+    """Fields by name; files are named but never eligible; a value's first 4097 bytes are read (a fixed value)."""
     parts = F.filter(F.split(body, F.concat(F.lit("--\\Q"), mark, F.lit("\\E"))), lambda x: F.contains(x, F.lit("\r\n\r\n")))
 
     def read(x: Column) -> Column:
         head = F.substring_index(x, "\r\n\r\n", 1)
         name, file = F.regexp_extract(head, '(?i)[; ]name="([^"]*)"', 1), F.regexp_extract(head, '(?i)filename="([^"]*)"', 1)
         value = F.regexp_replace(F.regexp_replace(x, r"(?s)^.*?\r\n\r\n", ""), r"\r\n\z", "")
-        kept = F.when(F.octet_length(value) > 4097, F.substring(value, 1, 4097)).otherwise(value)
+        kept = F.when(F.octet_length(value) > 4097, F.substring(value.cast("binary"), 1, 4097).cast("string")).otherwise(value)
         of_file = _item("multipart", F.concat(F.lit("multipart.file."), name), F.lit("file"), F.octet_length(file), F.lit(False))
         return F.when(file != "", of_file).otherwise(_item("multipart", F.concat(F.lit("multipart."), name), infer_type(kept), F.least(F.octet_length(kept), F.lit(4097)), F.lit(True)))
 
@@ -74,24 +76,25 @@ def multipart_parameters(body: Column, mark: Column) -> Column:
 
 
 def _leaves(value, prefix: str, out: list) -> None:
-    """Leaves in the order of sorted keys; iterative, so depth is no limit."""
-    stack = [(prefix, value)]
+    """Leaves in the order of sorted keys; iterative, so depth is no limit.  A leaf has the name of its member, if it is one."""
+    stack = [(prefix, "", value)]
     while stack:
-        path, v = stack.pop()
+        path, name, v = stack.pop()
         if isinstance(v, dict):
-            stack.extend((f"{path}.{k}", v[k]) for k in sorted(v, reverse=True))
+            stack.extend((f"{path}.{k}", k, v[k]) for k in sorted(v, reverse=True))
         elif isinstance(v, list):
-            stack.extend((f"{path}[{i}]", v[i]) for i in range(len(v) - 1, -1, -1))
+            stack.extend((f"{path}[{i}]", "", v[i]) for i in range(len(v) - 1, -1, -1))
         elif v is None:
-            out.append((path, "null", 0))
+            out.append((path, "null", 0, name, True))
         elif isinstance(v, bool):
-            out.append((path, "boolean", 4 if v else 5))
+            out.append((path, "boolean", 4 if v else 5, name, False))
+        elif isinstance(v, jsontext.Number):
+            out.append((path, "integer" if abs(float(v)) < 2**63 else "number", len(v), name, False))
         elif isinstance(v, (int, float)):
-            text = json.dumps(v)
             whole = abs(v) < 2**63 and v == int(v)
-            out.append((path, "integer" if whole else "number", len(text)))
+            out.append((path, "integer" if whole else "number", len(json.dumps(v)), name, False))
         else:
-            out.append((path, "string", len(v.encode("utf-8", "replace"))))
+            out.append((path, "string", len(v.encode("utf-8", "replace")), name, not v.strip()))
 
 
 @F.pandas_udf(LEAVES)
@@ -102,14 +105,27 @@ def json_leaves(bodies: pd.Series) -> pd.Series:
         if body is None:
             return None
         try:
-            value = json.loads(body)
-        except (ValueError, RecursionError):
+            value = jsontext.parse(body)
+        except ValueError:
             return None
         found: list = []
         _leaves(value, "json", found)
         if isinstance(value, dict) and isinstance(value.get("query"), str) and "variables" in value:
             _leaves(value["variables"], "graphql.variables", found)
-        return [{"root": p.split(".")[0].split("[")[0], "path": p, "type": t, "sample_length": n} for p, t, n in found]
+        return [dict(zip(_LEAF, x, strict=True)) for x in found]
+
+    return bodies.map(one)
+
+
+@F.pandas_udf(T.StringType())
+def canonical_json(bodies: pd.Series) -> pd.Series:
+    """JSON with sorted keys and no layout, at any depth; null where the body is not JSON."""
+
+    def one(body):
+        try:
+            return None if body is None else jsontext.write(jsontext.parse(body))
+        except ValueError:
+            return None
 
     return bodies.map(one)
 
@@ -120,15 +136,11 @@ def json_parameters(leaves: Column) -> Column:
 
 
 def first_of_each(parameters: Column) -> Column:
-    """The first of each (source, path).  A fold, so that the array is worked out once a row, not once an element."""
-    start = F.struct(F.array().cast(PARAMETER).alias("kept"), F.array().cast("array<string>").alias("keys"))
-
-    def add(state: Column, p: Column) -> Column:
-        key = F.concat(p["source"], F.lit("\0"), p["path"])
-        more = F.struct(F.concat(state["kept"], F.array(p)).alias("kept"), F.concat(state["keys"], F.array(key)).alias("keys"))
-        return F.when(F.array_contains(state["keys"], key), state).otherwise(more)
-
-    return F.aggregate(parameters, start, add, lambda state: state["kept"])
+    """The first of each (source, path), by sorting: those that follow one of their own key go.  The sorted array is a lambda's
+    variable, so that it is worked out once a row, not once an element."""
+    keyed = F.transform(parameters, lambda p, i: F.struct(F.concat(p["source"], F.lit("\0"), p["path"]).alias("key"), i.alias("i"), p.alias("p")))
+    first = F.transform(F.array(F.array_sort(keyed)), lambda s: F.filter(s, lambda x, i: (i == 0) | (F.get(s, i - 1)["key"] != x["key"])))
+    return F.transform(F.array_sort(F.transform(F.get(first, F.lit(0)), lambda x: F.struct(x["i"].alias("i"), x["p"].alias("p")))), lambda x: x["p"])
 
 
 def with_parameters(df: DataFrame) -> DataFrame:

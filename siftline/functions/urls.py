@@ -162,14 +162,13 @@ def body_type(content_type: Column) -> Column:
     return out.when(f["is_graphql"], "graphql").when(f["is_xml"], "xml").when(f["is_text"], "text").otherwise("binary")
 
 
-def fingerprint(method: Column, url: Column, body: Column, content_type: Column) -> Column:
-    """Hash that does not depend on case, port, fragment, order of query or form keys, JSON layout or charset.  JSON is compared
-    by its text without layout white space and with the top-level members of a flat object sorted."""
+def fingerprint(method: Column, url: Column, body: Column, content_type: Column, canonical: Column) -> Column:
+    """Hash that does not depend on case, port, fragment, order of query or form keys, JSON layout or charset.  ``canonical``
+    is the body as canonical JSON, null where it is not JSON."""
     m = media_type(content_type)
-    flat = F.array_join(F.array_sort(F.split(F.regexp_replace(F.regexp_replace(body, r"^\s*\{|\}\s*\z", ""), r"\s*([:,])\s*", "$1"), ",")), ",")
     form = F.array_join(F.array_sort(F.split(body, "&")), "&")
-    canonical = F.when(F.contains(m, F.lit("json")) & ~body.rlike(r"[\[\]]|\{.*\{"), F.trim(flat)).when(m == "application/x-www-form-urlencoded", form).otherwise(body)
-    return F.sha2(F.concat_ws("\0", F.upper(method), normalize_url(url), canonical, m), 256)
+    text = F.when(F.contains(m, F.lit("json")), F.coalesce(canonical, body)).when(m == "application/x-www-form-urlencoded", form).otherwise(body)
+    return F.sha2(F.concat_ws("\0", F.upper(method), normalize_url(url), text, m), 256)
 
 
 def short_hash(value: Column) -> Column:

@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.classify import CANDIDATE_CLASSES, noise_name
 from ..functions.params import schema_parameters
 from ..functions.redact import redact_body, redact_headers, redact_url
 from ..functions.urls import authority, host, part, scheme
-from .inventory import captured, inventory
+from ..sources import files
+from .inventory import inventory
 
 
 @dataclass(frozen=True)
@@ -24,14 +25,17 @@ class Gates:
     destructive: bool = False
 
 
-def with_representatives(analyzed: DataFrame) -> DataFrame:
-    """Captured rows that represent a group, with the group's columns.  The inventory is joined on the request id, which is
-    unique on its side."""
-    groups = inventory(analyzed).select(
-        F.col("representative_request_id").alias("id"), "endpoint_template", F.col("replayability").alias("group_replayability"), F.col("request_eligible").alias("group_eligible"),
-        F.col("classification").alias("group_class"), "authentication_context",
-    )
-    return captured(analyzed).join(groups, "id")
+#: Columns of a request that exports and reports read.
+_CARRIED = ("method", "url", "headers", "body", "body_type", "p", "page_url", "task_id", "source_type", "lifecycle_state", "cdp_request_id", "created_at", "response", "parameters", "query_eligible")
+
+
+def with_representatives(analyzed: DataFrame, *columns: str) -> DataFrame:
+    """The representative request of each group with the group's columns, out of the aggregate that finds it: the requests are
+    analysed once, and only ``columns`` (all that exports read, if none are named) travel with it."""
+    groups = inventory(analyzed, **{c: F.col(c) for c in columns or _CARRIED})
+    return groups.select(
+        "inventory_id", "endpoint_template", F.col("replayability").alias("group_replayability"), F.col("request_eligible").alias("group_eligible"), F.col("classification").alias("group_class"), "authentication_context", "representative.*"
+    )
 
 
 def curated(analyzed: DataFrame, gates: Gates) -> DataFrame:
@@ -56,9 +60,8 @@ def replay_rows(analyzed: DataFrame) -> DataFrame:
 
 
 def numbered(rows: DataFrame) -> DataFrame:
-    """Files are numbered in order of creation; the list is of representatives, so it is as long as the inventory."""
-    n = F.row_number().over(W.orderBy("created_at", "id"))
-    return rows.withColumn("request_filename", F.format_string("request-%03d.txt", n))
+    """Files are numbered in order of creation."""
+    return files.numbered(rows, "number", "created_at", "id").withColumn("request_filename", F.format_string("request-%03d.txt", "number"))
 
 
 def header_list(headers: Column) -> Column:
@@ -82,14 +85,42 @@ def _har_entry() -> Column:
 
 
 def har(rows: DataFrame) -> DataFrame:
-    """One row an entry: JSON of a HAR 1.2 entry.  ``har_document`` puts entries into one document."""
+    """One row an entry: JSON of a HAR 1.2 entry.  ``write_har`` puts entries into one document."""
     return redacted(rows).select("id", F.to_json(_har_entry(), {"ignoreNullFields": "false"}).alias("entry"))
 
 
-def har_document(entries: DataFrame) -> DataFrame:
-    """A single HAR document; as long as the inventory, so only for lists that fit one file."""
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", "entry"))), lambda e: e["entry"]), ",")
-    return entries.agg(F.concat(F.lit('{"log":{"version":"1.2","creator":{"name":"siftline","version":"1"},"entries":['), joined, F.lit("]}}")).alias("document"))
+def _document(items: DataFrame, text: str, head: str, tail: str, path: str) -> None:
+    files.write_document(files.numbered(items, "n", "id").select("n", F.col(text).alias("text")), head, tail, path)
+
+
+def write_har(entries: DataFrame, path: str) -> None:
+    _document(entries, "entry", '{"log":{"version":"1.2","creator":{"name":"siftline","version":"1"},"entries":[', "]}}", path)
+
+
+def write_postman(items: DataFrame, path: str, name: str = "siftline") -> None:
+    """A v2.1 collection (its schema's address is a fixed value)."""
+    info = json.dumps({"name": name, "schema": "https://schema.getpostman.com/json/collection/v2.1.0/collection.json"})
+    _document(items, "item", f'{{"info":{info},"item":[', "]}", path)
+
+
+def write_index(index_: DataFrame, path: str) -> None:
+    rows = index_.select(F.col("request_filename").alias("id"), F.to_json(F.struct(*index_.columns)).alias("row"))
+    _document(rows, "row", "[", "]", path)
+
+
+def write_candidates(candidates: DataFrame, path: str) -> None:
+    """``candidates.json`` and ``urls.txt``, a distinct URL a line, below ``path``."""
+    rows = candidates.select(F.concat_ws(" ", "id", "parameter_path").alias("id"), F.to_json(F.struct(*candidates.columns)).alias("row"))
+    _document(rows, "row", "[", "]", f"{path}/candidates.json")
+    files.write_lines(candidate_urls(candidates), "url", f"{path}/urls.txt")
+
+
+def leaks(artifacts: DataFrame, markers: list[str]) -> DataFrame:
+    """How many rows of each artifact (artifact, text) hold any of ``markers``; none may, of an export."""
+    held = F.lit(False)
+    for m in markers:
+        held = held | F.contains("text", F.lit(m))
+    return artifacts.groupBy("artifact").agg(F.count(F.lit(1)).alias("texts"), F.count_if(held).alias("leaks"))
 
 
 def postman(rows: DataFrame) -> DataFrame:
@@ -111,7 +142,7 @@ def index(rows: DataFrame) -> DataFrame:
 
 def query_candidates(analyzed: DataFrame, gates: Gates) -> DataFrame:
     """A row for each query parameter of a representative that can be a candidate; URLs are redacted."""
-    rows = with_representatives(analyzed).where("query_eligible")
+    rows = with_representatives(analyzed, "method", "url", "page_url", "created_at", "parameters", "query_eligible").where("query_eligible")
     rows = rows.select("id", "method", "url", "page_url", "created_at", "authentication_context", F.explode_outer("parameters").alias("x")).where("x.source = 'query' AND x.eligible")
     secret = F.col("authentication_context") == "AUTHENTICATED"
     return rows.where(~noise_name(F.col("x.path"))).select(

@@ -1,7 +1,8 @@
 """Analysis of requests and the endpoint inventory.
 
-The inventory is one aggregate keyed by the request's shape.  Latest bodies are taken per request first, so that an
-observation that is saved again as its lifecycle advances counts once.
+A table that holds requests saved more than once, as their lifecycle advances, goes through ``latest`` after ``analyze``;
+``inventory`` then is one aggregate keyed by the request's shape over rows with distinct ids.  It has one distinct count and
+so no Expand: a partial aggregate by (key, body), an exchange, and the aggregate by key.
 """
 
 from __future__ import annotations
@@ -29,8 +30,12 @@ def schema_hash() -> Column:
     return F.sha2(_escaped(F.to_json(shape)), 256)
 
 
+def _identity() -> Column:
+    return F.concat_ws("\0", "origin", F.upper("method"), "template", "auth", "gql_type", "gql_name", "gql_hash")
+
+
 def endpoint_identity() -> Column:
-    return F.sha2(F.concat_ws("\0", "origin", F.upper("method"), "template", "auth", "gql_type", "gql_name", "gql_hash"), 256)
+    return F.sha2(_identity(), 256)
 
 
 def analyze(observations: DataFrame) -> DataFrame:
@@ -53,7 +58,15 @@ def analyze(observations: DataFrame) -> DataFrame:
             "body_hash": F.sha2("body", 256),
         }
     )
-    return df.withColumn("inventory_id", F.sha2(F.concat_ws("\0", "identity", "schema_hash"), 256))
+    df = df.withColumn("inventory_id", F.sha2(F.concat_ws("\0", _identity(), "schema_hash"), 256))
+    return df if "statuses" in df.columns else df.withColumn("statuses", F.filter(F.array("response.status_code"), lambda x: x.isNotNull()))
+
+
+def guard(observations: DataFrame) -> DataFrame:
+    """id, classification, replayability, reason and parameter count of rows that no rule looks at: no request, or blocked."""
+    why = F.when(C.missing(), "nil_request").when(C.blocked(), "blocked_by_policy")
+    rows = observations.withColumn("reason", why).where("reason IS NOT NULL")
+    return rows.select("id", F.lit("UNKNOWN").alias("classification"), F.lit("NOT_REPLAYABLE").alias("replayability"), "reason", F.lit(0).alias("parameters"))
 
 
 def captured(analyzed: DataFrame) -> DataFrame:
@@ -67,33 +80,46 @@ def best_first() -> Column:
     return F.struct(*((-q).alias(f"q{i}") for i, q in enumerate(C.quality())), F.col("request_timestamp").alias("t"), F.col("id").alias("id"))
 
 
-def inventory(analyzed: DataFrame) -> DataFrame:
-    """One row for each shape of request; one shuffle on its key, with partial aggregation before it."""
+def affected(analyzed: DataFrame, changed: Column) -> DataFrame:
+    """The inventory's rows of groups that hold a ``changed`` request."""
+    return inventory(analyzed, any_changed=changed).where("any_changed").drop("any_changed")
+
+
+def inventory(analyzed: DataFrame, any_changed: Column | None = None, **payload: Column) -> DataFrame:
+    """One row for each shape of request, from rows with distinct ids.
+
+    Class, template and content type are those of the first request; parameters, eligibility and reasons of the last; a
+    replayability gives way only to a REPLAYABLE one.  ``payload`` names further columns of the representative request, which
+    come along in a struct ``representative``: no second look at the requests is needed.  ``any_changed`` is a condition;
+    the column of that name says whether a request of the group meets it.
+    """
     newest = F.struct("created_at", "id")
-    replay = F.max_by("replayability", newest)
     good = F.max_by("replayability", F.when(F.col("replayability").startswith("REPLAYABLE"), newest))
-    return (
-        captured(analyzed)
-        .groupBy("inventory_id")
-        .agg(
-            F.first(F.upper("method")).alias("method"), F.first("template").alias("endpoint_template"), F.first("origin").alias("origin"), F.first("identity").alias("endpoint_identity"),
-            F.max_by("classification", newest).alias("classification"), F.first("auth").alias("authentication_context"), F.first("schema_hash").alias("request_schema_hash"),
-            F.min_by("id", newest).alias("first_request_id"), F.min_by("id", best_first()).alias("representative_request_id"),
-            F.count_distinct("id").alias("observation_count"), F.count_distinct("body_hash").alias("distinct_body_count"),
-            F.to_json(F.array_sort(F.collect_set("response.status_code"))).alias("status_codes"),
-            F.to_json(P.schema_parameters(F.max_by("parameters", newest))).alias("parameter_paths"),
-            F.coalesce(good, F.min_by("replayability", newest), replay).alias("replayability"),
-            F.max_by("request_eligible", newest).alias("request_eligible"), F.max_by("query_eligible", newest).alias("query_eligible"),
-        )
+    paths = P.schema_parameters(F.col("parameters")).alias("paths")
+    grouped = captured(analyzed).groupBy("inventory_id").agg(
+        F.first(F.upper("method")).alias("method"), F.first("template").alias("endpoint_template"), F.first("origin").alias("origin"), F.first("identity").alias("endpoint_identity"),
+        F.first("auth").alias("authentication_context"), F.first("content").alias("content_type"), F.first("schema_hash").alias("request_schema_hash"),
+        F.min_by(F.struct("id", "classification", "replayability"), newest).alias("first"), F.max_by(F.struct("request_eligible", "query_eligible", "reasons", paths), newest).alias("last"), good.alias("good"),
+        F.min_by(F.struct("id", *(c.alias(n) for n, c in payload.items())), best_first()).alias("representative"),
+        F.count(F.lit(1)).alias("observation_count"), F.count_distinct("body_hash").alias("distinct_body_count"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("statuses")))).alias("codes"),
+        F.min("created_at").alias("created_at"), F.max("created_at").alias("updated_at"), F.bool_or(F.lit(True) if any_changed is None else any_changed).alias("any_changed"),
+    )
+    return grouped.select(
+        "inventory_id", "method", "endpoint_template", "origin", "endpoint_identity", F.col("first.classification").alias("classification"), "authentication_context", "content_type", "request_schema_hash",
+        F.col("first.id").alias("first_request_id"), F.col("representative.id").alias("representative_request_id"), "observation_count", "distinct_body_count", F.to_json("codes").alias("status_codes"),
+        F.to_json("last.paths").alias("parameter_paths"), F.coalesce("good", "first.replayability").alias("replayability"), F.col("last.request_eligible").alias("request_eligible"),
+        F.col("last.query_eligible").alias("query_eligible"), F.to_json("last.reasons").alias("exclusion_reasons"), "created_at", "updated_at", *(["representative"] if payload else []), *(["any_changed"] if any_changed is not None else []),
     )
 
 
-def latest(history: DataFrame) -> DataFrame:
-    """The newest row of each request id; a request that policy stopped stays stopped, whatever comes later."""
+def latest(analyzed: DataFrame) -> DataFrame:
+    """The newest row of each request id, with the status codes of all its rows of the same shape; a request that policy
+    stopped stays stopped, whatever comes later."""
     stopped = F.col("lifecycle_state").isin("blocked_by_policy", "policy_enforcement_failed")
-    every = [c for c in history.columns if c != "id"]
-    picked = history.groupBy("id").agg(F.max_by(F.struct(*every), F.struct(stopped.alias("s"), F.col("created_at"))).alias("row"))
-    return picked.select("id", "row.*")
+    every = [c for c in analyzed.columns if c not in ("id", "statuses")]
+    picked = analyzed.groupBy("id").agg(F.max_by(F.struct(*every), F.struct(stopped.alias("s"), F.col("created_at"))).alias("row"), F.collect_set(F.struct("inventory_id", "statuses")).alias("seen"))
+    mine = F.filter("seen", lambda x: x["inventory_id"] == F.col("row.inventory_id"))
+    return picked.select("id", "row.*", F.array_sort(F.array_distinct(F.flatten(F.transform(mine, lambda x: x["statuses"])))).alias("statuses"))
 
 
 def request_parameters(analyzed: DataFrame) -> DataFrame:

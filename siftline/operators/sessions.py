@@ -35,3 +35,13 @@ def tokens(rows: DataFrame) -> DataFrame:
 def token_counts(rows: DataFrame) -> DataFrame:
     rows = rows.withColumn("kind", token_kind(F.col("source"), F.col("name"), F.col("value"))).where("kind IS NOT NULL")
     return rows.groupBy("source", "kind").agg(F.count(F.lit(1)).alias("tokens"), F.count_distinct(F.sha2("value", 256)).alias("distinct_values"))
+
+
+def merged(existing: Column, discovered: Column) -> Column:
+    """Tokens (source, name, value_hash) of two lists, each once, by source and name."""
+    return F.array_sort(F.array_distinct(F.concat(existing, discovered)))
+
+
+def append_unique(items: Column, item: Column) -> Column:
+    """``items`` with ``item`` at the end, unless it is there."""
+    return F.when(F.array_contains(items, item), items).otherwise(F.array_append(items, item))

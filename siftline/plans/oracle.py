@@ -2,9 +2,20 @@
 
 from __future__ import annotations
 
-from ..functions.classify import CANDIDATE_CLASSES, NOISE, QUERY_CLASSES, SENSITIVE_PARTS, SENSITIVE_WORDS, STATIC
-from ..functions.urls import SEGMENTS, URL
-from ..sources.bridge import OBSERVATIONS_SQL
+from ..sources.bridge import HISTORY_SQL, OBSERVATIONS_SQL
+
+#: Fixed values, written here once more so that a slip in the engine's own does not pass on both sides.
+URL = "^(?:([A-Za-z][A-Za-z0-9+.-]*):)?(?://([^/?#]*))?([^?#]*)(?:[?]([^#]*))?(?:#(.*))?"
+SEGMENTS = [
+    ("{uuid}", "(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[12345][0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}$"), ("{cve}", "(?i)^cve-[0-9]{4}-[0-9]{4}[0-9]*$"), ("{cpe}", "(?i)^cpe:2[.]3:"),
+    ("{int}", "^[0-9]+$"), ("{hash}", "(?i)^[0-9a-f]{20}[0-9a-f]*$"), ("{id}", "^[A-Za-z0-9_-]{24}[A-Za-z0-9_-]*$"),
+]
+STATIC = ".js .css .map .png .jpg .jpeg .gif .svg .ico .webp .woff .woff2 .ttf .eot .mp4 .webm .pdf".split()
+NOISE = "_rsc _ fbclid gclid page limit offset".split()
+SENSITIVE_WORDS = "password passwd passcode token accesstoken refreshtoken idtoken authorization cookie session csrf xsrf secret".split()
+SENSITIVE_PARTS = "password token session csrf authorization".split()
+CANDIDATE_CLASSES = "APPLICATION GRAPHQL PARAMETERIZED_NAVIGATION AUTH_API AUTH_RECOVERY_API".split()
+QUERY_CLASSES = "APPLICATION GRAPHQL PARAMETERIZED_NAVIGATION".split()
 
 
 def texts(values) -> str:
@@ -123,7 +134,7 @@ a AS (SELECT *, classification IN ({texts(CANDIDATE_CLASSES)}) AND starts_with(r
    classification IN ({texts(QUERY_CLASSES)}) AND m = 'GET' AND any_query AS query_eligible,
    sha256(replace(replace(replace(CAST(to_json({{'auth': auth, 'content_type': content, 'graphql_operation': gql_name, 'graphql_type': gql_type, 'method': m, 'parameters': shape, 'template': template}}) AS VARCHAR), '<', '\\u003c'), '>', '\\u003e'), '&', '\\u0026')) AS schema_hash,
    sha256(concat_ws(chr(0), origin, m, template, auth, gql_type, gql_name, gql_hash)) AS identity, sha256(body) AS body_hash FROM s),
-z AS (SELECT *, sha256(concat_ws(chr(0), identity, schema_hash)) AS inventory_id,
+z AS (SELECT *, sha256(concat_ws(chr(0), origin, m, template, auth, gql_type, gql_name, gql_hash, schema_hash)) AS inventory_id,
    CASE WHEN request_eligible THEN '' WHEN len(reasons) > 0 THEN array_to_string(reasons, ',') ELSE 'no_meaningful_controllable_parameter' END AS request_reason,
    CASE WHEN query_eligible THEN '' WHEN len(reasons) > 0 THEN array_to_string(reasons, ',') ELSE 'not_parameterized_get' END AS query_reason FROM a),
 k AS (SELECT * FROM z WHERE (source_type = 'cdp' OR starts_with(source_type, 'cdp_')) AND NOT blocked AND lifecycle_state <> 'policy_enforcement_failed')"""
@@ -136,13 +147,68 @@ _Q = [
 BEST = ", ".join(f"{q} DESC" for q in _Q) + ", request_timestamp, id"
 _LAST = "ORDER BY created_at DESC, id DESC"
 _FIRST = "ORDER BY created_at, id"
-INVENTORY = f"""inv AS (SELECT inventory_id, any_value(m) AS method, any_value(template) AS endpoint_template, any_value(origin) AS origin, any_value(identity) AS endpoint_identity, first(classification {_LAST}) AS classification,
+INVENTORY = f"""inv AS (SELECT inventory_id, any_value(m) AS method, any_value(template) AS endpoint_template, any_value(origin) AS origin, any_value(identity) AS endpoint_identity, first(classification {_FIRST}) AS classification, any_value(content) AS content_type, CAST(to_json(first(reasons {_LAST})) AS VARCHAR) AS exclusion_reasons, min(created_at) AS created_at, max(created_at) AS updated_at,
    any_value(auth) AS authentication_context, any_value(schema_hash) AS request_schema_hash, first(id {_FIRST}) AS first_request_id, first(id ORDER BY {BEST}) AS representative_request_id,
    count(DISTINCT id) AS observation_count, count(DISTINCT body_hash) AS distinct_body_count, CAST(to_json(coalesce(list_sort(list(DISTINCT status_code) FILTER (status_code IS NOT NULL)), [])) AS VARCHAR) AS status_codes,
    CAST(to_json(first(shape {_LAST})) AS VARCHAR) AS parameter_paths, coalesce(first(replayability {_LAST}) FILTER (starts_with(replayability, 'REPLAYABLE')), first(replayability {_FIRST})) AS replayability,
    first(request_eligible {_LAST}) AS request_eligible, first(query_eligible {_LAST}) AS query_eligible FROM k GROUP BY inventory_id)"""
 
 
+#: Requests saved several times: a save is a row of its own until the newest of each request is picked.
+OBS_HISTORY = OBS.replace(f"obs AS ({OBSERVATIONS_SQL})", f"obs AS (SELECT * REPLACE (concat(id, '#', CAST(save AS VARCHAR)) AS id), id AS rid FROM ({HISTORY_SQL}))")
+HISTORY = f"""k2 AS (SELECT * REPLACE (rid AS id) FROM (SELECT * FROM z QUALIFY row_number() OVER (PARTITION BY rid ORDER BY lifecycle_state IN ('blocked_by_policy', 'policy_enforcement_failed') DESC, created_at DESC) = 1)
+  WHERE (source_type = 'cdp' OR starts_with(source_type, 'cdp_')) AND NOT blocked AND lifecycle_state <> 'policy_enforcement_failed'),
+st AS (SELECT k2.inventory_id, CAST(to_json(coalesce(list_sort(list(DISTINCT z.status_code) FILTER (z.status_code IS NOT NULL)), [])) AS VARCHAR) AS codes FROM k2 JOIN z ON z.rid = k2.rid AND z.inventory_id = k2.inventory_id GROUP BY k2.inventory_id),
+{INVENTORY.replace("FROM k GROUP BY", "FROM k2 GROUP BY")}"""
+
+
+def members(j: str, k: str, value: str) -> str:
+    """An object's members by name, as JSON text; ``value`` is that of name ``k``."""
+    return f"""concat('{{', array_to_string(list_transform(list_sort(json_keys({j})), lambda {k}: concat('"', {k}, '":', {value})), ','), '}}')"""
+
+
+def at(j: str, k: str) -> str:
+    return f"""json_extract({j}, concat('$."', {k}, '"'))"""
+
+
+def canonical(j: str, hide=None) -> str:
+    """A JSON object of two levels with sorted names; ``hide`` says which names lose their value."""
+
+    def shown(k: str, value: str) -> str:
+        return f"""CASE WHEN {hide(k)} THEN '"[REDACTED]"' ELSE {value} END""" if hide else value
+
+    inner = members(at(j, "k"), "l", shown("l", f"CAST({at(at(j, 'k'), 'l')} AS VARCHAR)"))
+    return members(j, "k", shown("k", f"CASE WHEN json_type({at(j, 'k')}) = 'OBJECT' THEN {inner} ELSE CAST({at(j, 'k')} AS VARCHAR) END"))
+
+
+def redacted_body(hide) -> str:
+    """Of the bodies that there are: objects of two levels, forms, and multipart bodies with one sensitive field."""
+    form = f"array_to_string(list_transform(string_split(body, '&'), lambda x: CASE WHEN contains(x, '=') AND {sensitive("split_part(x, '=', 1)")} THEN concat(split_part(x, '=', 1), '=%5BREDACTED%5D') ELSE x END), '&')"
+    fields = f"""regexp_replace({form}, '(name="sessionToken"\\r\\n\\r\\n)[^\\r\\n]*', '\\1[REDACTED]')"""
+    return f"CASE WHEN coalesce(json_type({_JSON}) = 'OBJECT', false) THEN {canonical(f'CAST({_JSON} AS JSON)', hide)} ELSE {fields} END"
+
+
+#: id and redacted body of each observation; URLs likewise; and the rows that exports are made of.
+BODIES = f"rb AS (SELECT id, {redacted_body(sensitive)} AS rbody FROM obs)"
+REDACTED_QUERY = f"rq AS (SELECT id, string_agg(concat(url_encode(k), '=', url_encode(w)), '&' ORDER BY k, i) AS q FROM (SELECT DISTINCT id, k, CASE WHEN s THEN 0 ELSE i END AS i, CASE WHEN s THEN '[REDACTED]' ELSE v END AS w FROM (SELECT *, {sensitive('k')} AS s FROM qp)) GROUP BY id)"
+_REDACTED_URL = "concat(regexp_replace(url, '(?s)[?#].*\\z', ''), CASE WHEN q IS NOT NULL THEN concat('?', replace(q, '%20', '+')) ELSE '' END, CASE WHEN u_fragment <> '' THEN concat('#', u_fragment) ELSE '' END)"
+URLS = f"ru AS (SELECT id, CASE WHEN NOT u_ok THEN url ELSE {_REDACTED_URL} END AS rurl, coalesce(replace(q, '%20', '+'), '') AS rquery FROM v LEFT JOIN rq USING (id))"
+LOG_URL = f"CASE WHEN NOT u_ok THEN '<redacted-url>' WHEN contains(u_path, '/devtools/browser/') THEN '<redacted-browser-url>' ELSE {_REDACTED_URL} END"
+CURATED = f"""cur AS (SELECT k.*, inv.endpoint_template, inv.replayability AS group_replayability, rurl, rquery, rbody, {_AUTHORITY} AS authority FROM inv JOIN k ON k.id = representative_request_id JOIN ru ON ru.id = k.id JOIN rb ON rb.id = k.id
+  WHERE inv.request_eligible AND inv.classification IN ({texts(CANDIDATE_CLASSES)}) AND NOT contains(p, 'refresh-token') AND m <> 'DELETE')"""
+_HEADERS = {"Accept": "accept", "Authorization": "CASE WHEN \"authorization\" <> '' THEN '[REDACTED]' ELSE '' END", "Content-Type": "content_type"}
+
+
+def headers(item: str, join: str, *names: str) -> str:
+    """Headers that are there, in order; $n and $v stand for name and value."""
+    cells = ", ".join(f"CASE WHEN {_HEADERS[n]} <> '' THEN {item.replace('$n', n).replace('$v', _HEADERS[n])} END" for n in names)
+    return f"array_to_string(list_filter([{cells}], lambda x: x IS NOT NULL), {join})"
+
+
+def text(x: str) -> str:
+    return f"CAST(to_json({x}) AS VARCHAR)"
+
+
 def sql(select: str, *ctes: str) -> str:
     return f"WITH {', '.join(ctes)} {select}" if ctes else select
 

@@ -7,7 +7,6 @@ what a query does not read.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import classify as C
@@ -16,6 +15,7 @@ from ..functions import redact as R
 from ..functions import urls as U
 from ..operators import export, inventory, report, sessions
 from ..sources import bridge
+from ..sources.files import spread
 from . import oracle as O
 from .oracle import sql
 
@@ -89,11 +89,16 @@ def normalize_url(spark, d):
     return obs(spark, d).select("id", U.normalize_url(F.col("url")).alias("normalized_url"))
 
 
-@query("request_fingerprint")
+_FORM_BODY = "array_to_string(list_sort(string_split(body, '&')), '&')"
+_CANON = f"CASE WHEN contains(mt, 'json') AND coalesce(json_type({O._JSON}) = 'OBJECT', false) THEN {O.canonical(f'CAST({O._JSON} AS JSON)')} WHEN mt = 'application/x-www-form-urlencoded' THEN {_FORM_BODY} ELSE body END"
+
+
+@query("request_fingerprint", f"SELECT id, sha256(concat_ws(chr(0), m, {_NORMAL}, {_CANON}, mt)) AS fingerprint FROM (SELECT *, lower(trim(split_part(content_type, ';', 1))) AS mt FROM nq)", *O.V, _NQ)
 def request_fingerprint(spark, d):
     df = bridge.observations(spark, d)
-    key = U.fingerprint(F.col("method"), F.col("url"), F.col("body"), U.header_value(F.col("headers"), "content-type"))
-    return df.select("id", key.alias("fingerprint"))
+    ct = U.header_value(F.col("headers"), "content-type")
+    canonical = P.canonical_json(F.when(F.contains(U.media_type(ct), F.lit("json")), F.col("body")))
+    return df.select("id", U.fingerprint(F.col("method"), F.col("url"), F.col("body"), ct, canonical).alias("fingerprint"))
 
 
 @query("short_hash", "SELECT id, left(sha256(id), 16) AS short_hash FROM obs", *O.V)
@@ -193,10 +198,37 @@ def graphql_fields(spark, d):
     return analyzed(spark, d).where("gql_hash <> ''").select("id", "gql_name", "gql_type", "gql_hash")
 
 
-@query("required_fields", "SELECT id, coalesce(trim(v), '') <> '' AS has_name FROM c LEFT JOIN (SELECT id, last(v ORDER BY i) AS v FROM fp WHERE k = 'name' GROUP BY id) USING (id) WHERE lower(content_type) = 'application/x-www-form-urlencoded'", O.OBS, O.CLASSIFIED, O.PARAMETERS)
+_LAST_FIELD = "SELECT id, last(v ORDER BY i) AS v FROM fp WHERE k = 'name' GROUP BY id UNION ALL SELECT id, last(val ORDER BY i) FROM mq WHERE name = 'note' GROUP BY id UNION ALL SELECT jb.id, max(j.atom->>'$') FROM jb, json_tree(jb.j) j WHERE j.key = 'id' AND j.type NOT IN ('OBJECT', 'ARRAY', 'NULL') AND trim(j.atom->>'$') <> '' GROUP BY jb.id"
+
+
+@query("required_fields", f"SELECT id, coalesce(trim(v), '') <> '' AS complete FROM c LEFT JOIN ({_LAST_FIELD}) USING (id) WHERE {O._IS_JSON} OR {O._FORM} OR {O._MULTI}", O.OBS, O.CLASSIFIED, O.PARAMETERS)
 def required_fields(spark, d):
-    df = obs(spark, d).where(U.media_type(U.header_value(F.col("headers"), "Content-Type")) == "application/x-www-form-urlencoded")
-    return df.select("id", report.has_fields(F.col("body"), ["name"]).alias("has_name"))
+    """Whether forms have a name, multipart bodies a note and JSON an id, at any depth."""
+    df, ct = bridge.observations(spark, d), U.header_value(F.col("headers"), "Content-Type")
+    flags = U.content_flags(ct)
+    done = [F.when(flags[kind], report.has_fields(F.col("body"), ct, [name])) for kind, name in (("is_json", "id"), ("is_urlencoded", "name"), ("is_multipart", "note"))]
+    return df.where(flags["is_json"] | flags["is_urlencoded"] | flags["is_multipart"]).select("id", F.coalesce(*done).alias("complete"))
+
+
+@query("feed_validation", """SELECT page_id, CASE WHEN t = 'none' AND (u <> '' OR r <> '') THEN 'AUTH_MODE_CONFLICT' WHEN t = 'form' AND (u = '' OR r <> '') THEN 'AUTH_MODE_INVALID' WHEN t = 'session_manager_cdp' AND (r = '' OR u <> '') THEN 'AUTH_MODE_INVALID' WHEN t = 'other' THEN 'AUTH_MODE_INVALID'
+ WHEN starts_with(s, 'ftp') OR contains(s, '@') THEN 'INVALID_URL' WHEN page_id % 3 = 1 AND page_id % 7 IN (1, 2) THEN 'INVALID_ORIGIN' WHEN page_id % 3 = 2 THEN 'INVALID_ORIGIN' END AS error
+ FROM (SELECT page_id, CASE page_id % 5 WHEN 0 THEN 'none' WHEN 1 THEN 'form' WHEN 2 THEN 'session_manager_cdp' WHEN 3 THEN 'other' END AS t, CASE WHEN page_id % 4 < 2 THEN 'user' ELSE '' END AS u, CASE WHEN page_id % 2 = 0 THEN 'role' ELSE '' END AS r,
+  CASE page_id % 11 WHEN 0 THEN 'ftp://a.example.test/' WHEN 1 THEN 'https://u:p@a.example.test/' ELSE 'https://a.example.test/x' END AS s FROM pages)""")
+def feed_validation(spark, d):
+    n = F.col("page_id")
+    kind = F.when(n % 5 == 0, " None").when(n % 5 == 1, "form").when(n % 5 == 2, "session_manager_cdp").when(n % 5 == 3, "other")
+    user, role = F.when(n % 4 < 2, "user").otherwise(""), F.when(n % 2 == 0, "role").otherwise("")
+    start = F.when(n % 11 == 0, "ftp://a.example.test/").when(n % 11 == 1, "https://u:p@a.example.test/").otherwise("https://a.example.test/x")
+    own, other = F.lit("https://a.example.test"), F.lit("https://b.example.test")
+    origins = F.when(n % 3 == 0, F.array().cast("array<string>")).when((n % 3 == 1) & (n % 7 == 1), F.array(own, own)).when((n % 3 == 1) & (n % 7 == 2), F.array(own, F.lit("https://a.example.test/path"))).when(n % 3 == 1, F.array(own, other)).otherwise(F.array(other))
+    return spark.read.parquet(f"{d}/pages.parquet").select("page_id", report.feed_error(kind, user, user, role, start, origins).alias("error"))
+
+
+@query("guard_rows", "SELECT id, 'UNKNOWN' AS classification, 'NOT_REPLAYABLE' AS replayability, CASE WHEN event_id % 50 = 0 THEN 'nil_request' ELSE 'blocked_by_policy' END AS reason, 0 AS parameters FROM obs WHERE event_id % 50 = 0 OR source_type = 'cdp_policy_blocked' OR lifecycle_state = 'blocked_by_policy'", *O.V)
+def guard_rows(spark, d):
+    """What no rule looks at; a row without URL and method stands for no request."""
+    gone = F.col("event_id") % 50 == 0
+    return inventory.guard(bridge.observations(spark, d).withColumns({c: F.when(~gone, F.col(c)) for c in ("url", "method")}))
 
 
 # -- classes, policy, eligibility
@@ -230,8 +262,15 @@ def eligibility(spark, d):
 CONFIG = C.PolicyConfig(allow_mutations=True, read_only_graphql=(("/GraphQL", ""), ("", "Q1")))
 
 
-def _policy_sql(config: C.PolicyConfig) -> str:
-    js = "CASE WHEN json_valid(body) AND body <> '' THEN body END"
+#: What each policy rule says, for the SQL.
+_WORDS = (
+    "READ_ONLY=read-only method;LOGOUT_BLOCKED=logout disabled;RECOVERY_BLOCKED=recovery disabled;ACCOUNT_CREATION_BLOCKED=account creation disabled;FILE_UPLOAD_BLOCKED=file uploads disabled;DELETE_BLOCKED=destructive actions disabled;"
+    "GRAPHQL_QUERY=explicit read-only GraphQL rule;AUTH_EXACT=exact active authentication request;MUTATION_BLOCKED=mutations disabled;UNKNOWN_METHOD=unknown non-read-only method;MUTATIONS_ENABLED=mutations explicitly enabled"
+)
+
+
+def _policy_sql(config: C.PolicyConfig, exact: str | None = None) -> str:
+    js = O._JSON
     ok = f"contains(lower(content_type), 'json') AND json_type({js}) = 'OBJECT'"
     q = f"lower(trim(coalesce(json_extract_string({js}, '$.query'), '')))"
     op = f"CASE WHEN {ok} AND starts_with({q}, 'query') THEN 'query' WHEN {ok} AND starts_with({q}, 'mutation') THEN 'mutation' WHEN {ok} AND starts_with({q}, 'subscription') THEN 'subscription' ELSE '' END"
@@ -240,12 +279,14 @@ def _policy_sql(config: C.PolicyConfig) -> str:
         ("m IN ('GET', 'HEAD', 'OPTIONS')", "ALLOW", "READ_ONLY", True), (O.has("p", "logout", "session/delete", "device/revoke"), "BLOCK", "LOGOUT_BLOCKED", not config.allow_logout),
         (O.has("p", "forgot", "reset", "password/change"), "BLOCK", "RECOVERY_BLOCKED", not config.allow_recovery), (O.has("p", "register", "signup", "account/create"), "BLOCK", "ACCOUNT_CREATION_BLOCKED", not config.allow_account_creation),
         ("contains(lower(content_type), 'multipart')", "BLOCK", "FILE_UPLOAD_BLOCKED", not config.allow_uploads), ("m = 'DELETE'", "BLOCK", "DELETE_BLOCKED", not config.allow_destructive),
-        (f"m = 'POST' AND op = 'query' AND ({rules})", "ALLOW", "GRAPHQL_QUERY", True), ("m IN ('POST', 'PUT', 'PATCH', 'DELETE')", "BLOCK", "MUTATION_BLOCKED", not config.allow_mutations),
+        (f"m = 'POST' AND op = 'query' AND ({rules})", "ALLOW", "GRAPHQL_QUERY", True), (f"m = 'POST' AND {exact}", "ALLOW", "AUTH_EXACT", exact is not None), ("m IN ('POST', 'PUT', 'PATCH', 'DELETE')", "BLOCK", "MUTATION_BLOCKED", not config.allow_mutations),
         ("m NOT IN ('POST', 'PUT', 'PATCH', 'DELETE')", "BLOCK", "UNKNOWN_METHOD", True),
     ]
     when = [(t, a, r) for t, a, r, on in lead if on]
+    words = dict(x.split("=") for x in _WORDS.split(";"))
     action, rule = (" ".join(f"WHEN {w[0]} THEN '{w[k]}'" for w in when) for k in (1, 2))
-    return f"SELECT id, CASE {action} ELSE 'ALLOW' END AS action, CASE {rule} ELSE 'MUTATIONS_ENABLED' END AS rule_id FROM (SELECT *, CASE WHEN op <> '' THEN coalesce(json_extract_string({js}, '$.operationName'), '') ELSE '' END AS name FROM (SELECT *, {op} AS op FROM v))"
+    why = " ".join(f"WHEN {w[0]} THEN '{words[w[2]]}'" for w in when)
+    return f"SELECT id, CASE {action} ELSE 'ALLOW' END AS action, CASE {rule} ELSE 'MUTATIONS_ENABLED' END AS rule_id, CASE {why} ELSE '{words["MUTATIONS_ENABLED"]}' END AS reason FROM (SELECT *, CASE WHEN op <> '' THEN coalesce(json_extract_string({js}, '$.operationName'), '') ELSE '' END AS name FROM (SELECT *, {op} AS op FROM v))"
 
 
 @query("policy_decision", _policy_sql(C.PolicyConfig()), *O.V)
@@ -253,6 +294,17 @@ def policy_decision(spark, d):
     return bridge.observations(spark, d).select("id", C.policy(C.PolicyConfig()).alias("x")).select("id", "x.*")
 
 
+_EXACT = "event_id % 3 <> 0 AND event_id % 4 <> 0 AND event_id % 5 <> 0"
+
+
+@query("policy_exact_authentication", _policy_sql(C.PolicyConfig(), _EXACT), *O.V)
+def policy_exact_authentication(spark, d):
+    """Requests of a login attempt: under way, exactly its own, and not used yet."""
+    n = F.col("event_id")
+    rows = bridge.observations(spark, d)
+    return rows.select("id", C.policy(C.PolicyConfig(), n % 3 != 0, n % 4 != 0, n % 5 == 0).alias("x")).select("id", "x.*")
+
+
 @query("policy_graphql_rules", _policy_sql(CONFIG), *O.V)
 def policy_graphql_rules(spark, d):
     return bridge.observations(spark, d).select("id", C.policy(CONFIG).alias("x")).select("id", "x.*")
@@ -311,12 +363,25 @@ def last_writer(spark, d):
     return inventory_(spark, d).select("inventory_id", "replayability", "request_eligible", "query_eligible", "parameter_paths")
 
 
-@query("rebuild_affected", "SELECT * FROM inv WHERE inventory_id IN (SELECT inventory_id FROM k WHERE event_id % 50 = 0)", *O.I)
+@query("inventory_listing", "SELECT origin, method, endpoint_template, inventory_id FROM inv", *O.I)
+def inventory_listing(spark, d):
+    return inventory_(spark, d).select("origin", "method", "endpoint_template", "inventory_id").orderBy("origin", "method", "endpoint_template", "inventory_id")
+
+
+_HISTORY = (O.OBS_HISTORY, O.CLASSIFIED, O.ANALYZED, O.HISTORY)
+_HISTORY_SQL = "SELECT inv.* REPLACE (st.codes AS status_codes) FROM inv JOIN st USING (inventory_id)"
+
+
+@query("inventory_history", _HISTORY_SQL, *_HISTORY)
+def inventory_history(spark, d):
+    """Requests that were saved several times: latest body, every status code, first class, last eligibility."""
+    return inventory.inventory(inventory.latest(inventory.analyze(bridge.history(spark, d))))
+
+
+@query("rebuild_affected", "SELECT inv.* FROM inv WHERE inventory_id IN (SELECT inventory_id FROM k WHERE lifecycle_state = 'loadingFinished')", *O.I)
 def rebuild_affected(spark, d):
-    """Aggregates of the groups that changed requests belong to, from full rows of those groups only."""
-    rows = inventory.captured(analyzed(spark, d))
-    touched = rows.where("event_id % 50 = 0").select("inventory_id").distinct()
-    return inventory.inventory(rows.join(touched, "inventory_id", "left_semi"))
+    """Groups with a request that has just finished loading, from full rows of the group: one analysis, one aggregate."""
+    return inventory.affected(analyzed(spark, d), F.col("lifecycle_state") == "loadingFinished")
 
 
 @query("orphan_check", "SELECT 'parameters' AS child, count(*) AS orphans FROM (SELECT inventory_id FROM params JOIN k USING (id)) x ANTI JOIN inv USING (inventory_id) UNION ALL SELECT 'observations', count(*) FROM k ANTI JOIN inv USING (inventory_id)", *O.I)
@@ -344,12 +409,16 @@ def blocked_exclusion(spark, d):
 # -- exports, always redacted
 
 
-@query("curated_rows", "SELECT k.id, m AS method, k.url, inv.endpoint_template, inv.replayability FROM inv JOIN k ON k.id = representative_request_id WHERE inv.request_eligible AND NOT contains(p, 'refresh-token') AND m IN ('GET', 'HEAD') AND inv.authentication_context = 'ANONYMOUS'", *O.I)
+@query("curated_rows", f"SELECT k.id, m AS method, k.url, inv.endpoint_template, inv.replayability FROM inv JOIN k ON k.id = representative_request_id WHERE inv.request_eligible AND inv.classification IN ({O.texts(O.CANDIDATE_CLASSES)}) AND NOT contains(p, 'refresh-token') AND m IN ('GET', 'HEAD') AND inv.authentication_context = 'ANONYMOUS'", *O.I)
 def curated_rows(spark, d):
     return export.curated(analyzed(spark, d), export.Gates()).select("id", F.upper("method").alias("method"), "url", "endpoint_template", "replayability")
 
 
-@query("export_numbering", "SELECT format('request-{:03d}.txt', row_number() OVER (ORDER BY created_at, k.id)) AS request_filename, k.id FROM inv JOIN k ON k.id = representative_request_id WHERE inv.request_eligible AND NOT contains(p, 'refresh-token') AND m <> 'DELETE'", *O.I)
+_EXPORT = (*O.I, O.REDACTED_QUERY, O.URLS, O.BODIES, O.CURATED)
+_NUMBER = "format('request-{:03d}.txt', row_number() OVER (ORDER BY created_at, id)) AS request_filename"
+
+
+@query("export_numbering", f"SELECT {_NUMBER}, id FROM cur", *_EXPORT)
 def export_numbering(spark, d):
     return export.numbered(export.curated(analyzed(spark, d), export.Gates(auth=True, mutations=True))).select("request_filename", "id")
 
@@ -367,29 +436,57 @@ def candidate_rows(spark, d):
     return export.query_candidates(analyzed(spark, d), export.Gates()).select("id", "method", "parameter_path", "sample_type", "source_page", "auth_required", "exclusion_reason")
 
 
-@query("candidate_urls")
+@query("candidate_urls", "SELECT DISTINCT rurl AS url FROM qc JOIN ru ON ru.id = qc.id WHERE exclusion_reason = ''", *O.I, O.REDACTED_QUERY, O.URLS, _QC)
 def candidate_urls(spark, d):
     return export.candidate_urls(export.query_candidates(analyzed(spark, d), export.Gates()))
 
 
-@query("har_entries")
+def _curated(spark, d):
+    return export.curated(analyzed(spark, d), export.Gates(auth=True, mutations=True))
+
+
+_MAP = O.headers("""concat('"$n":', CAST(to_json($v) AS VARCHAR))""", "','", "Content-Type", "Accept", "Authorization")
+_LIST = O.headers("""concat('{"key":"$n","value":', CAST(to_json($v) AS VARCHAR), '}')""", "','", "Accept", "Authorization", "Content-Type")
+_LINES = O.headers("concat('$n: ', $v, chr(13), chr(10))", "''", "Accept", "Authorization", "Content-Type")
+_PATH = """concat('["', array_to_string(string_split(regexp_replace(raw_path, '^/+|/+$', '', 'g'), '/'), '","'), '"]')"""
+
+
+@query("har_entries", f"""SELECT id, concat('{{"request":{{"method":"', m, '","url":', {O.text("rurl")}, ',"headers":{{', {_MAP}, '}},"postData":{{"mimeType":"', body_type, '","text":', {O.text("rbody")}, '}}}},"response":null}}') AS entry FROM cur""", *_EXPORT)
 def har_entries(spark, d):
-    return export.har(export.curated(analyzed(spark, d), export.Gates(auth=True, mutations=True)))
+    return export.har(_curated(spark, d))
 
 
-@query("postman_items")
+@query("postman_items", f"""SELECT id, concat('{{"name":', {O.text("concat(m, ' ', rurl)")}, ',"request":{{"method":"', m, '","header":[', {_LIST}, '],"body":{{"mode":"raw","raw":', {O.text("rbody")}, '}},"url":{{"raw":', {O.text("rurl")}, ',"protocol":"', u_scheme, '","host":["', replace(u_host, '.', '","'), '"],"path":', {_PATH}, '}}}}}}') AS item FROM cur""", *_EXPORT)
 def postman_items(spark, d):
-    return export.postman(export.curated(analyzed(spark, d), export.Gates(auth=True, mutations=True)))
+    return export.postman(_curated(spark, d))
 
 
-@query("request_index")
+@query("request_index", f"SELECT {_NUMBER}, id AS request_id, m AS method, rurl AS original_url, endpoint_template, array_to_string(shape, '|') AS parameter_paths, body_type, auth = 'AUTHENTICATED' AS authentication_required, page_url AS source_page, task_id, coalesce(status_code, 0) AS response_status, group_replayability AS replayability, '' AS exclusion_warnings FROM cur", *_EXPORT)
 def request_index(spark, d):
-    return export.index(export.curated(analyzed(spark, d), export.Gates(auth=True, mutations=True)))
+    return export.index(_curated(spark, d)).withColumns({c: F.array_join(c, "|") for c in ("parameter_paths", "exclusion_warnings")})
 
 
-@query("raw_http_text")
+@query("raw_http_text", f"SELECT id, concat(m, ' ', CASE WHEN raw_path = '' THEN '/' ELSE raw_path END, CASE WHEN rquery <> '' THEN concat('?', rquery) ELSE '' END, ' HTTP/1.1', chr(13), chr(10), 'Host: ', authority, chr(13), chr(10), {_LINES}, chr(13), chr(10), rbody) AS text FROM cur", *_EXPORT)
 def raw_http_text(spark, d):
-    return export.raw_text(export.curated(analyzed(spark, d), export.Gates(auth=True, mutations=True)))
+    return export.raw_text(_curated(spark, d))
+
+
+#: Texts that stand for secrets in the driver-derived requests.
+MARKERS = ["Bearer b", "password=p", '"authToken":"s"', "accessToken=t", "\r\n\r\nab-"]
+
+
+@query("marker_scan", f"SELECT 'raw' AS artifact, count(*) AS texts, count(*) FILTER (contains(body, 'password=p') OR contains(body, '\"authToken\":\"s\"') OR contains(body, concat(chr(13), chr(10), chr(13), chr(10), 'ab-'))) AS leaks FROM cur UNION ALL SELECT unnest(['har', 'http', 'index', 'postman']), count(*), 0 FROM cur", *_EXPORT)
+def marker_scan(spark, d):
+    """Every export of the curated requests, searched for secrets; the bodies before redaction show that there is something to find."""
+    rows = _curated(spark, d)
+    texts = [("raw", rows, "body"), ("har", export.har(rows), "entry"), ("http", export.raw_text(rows), "text"), ("postman", export.postman(rows), "item")]
+    one = export.index(rows)
+    texts.append(("index", one.select(F.to_json(F.struct(*one.columns)).alias("row")), "row"))
+    out = None
+    for name, df, column in texts:
+        part = df.select(F.lit(name).alias("artifact"), F.col(column).alias("text"))
+        out = part if out is None else out.union(part)
+    return export.leaks(out, MARKERS)
 
 
 @query("redact_form", f"SELECT id, array_to_string(list_transform(string_split(body, '&'), lambda x: CASE WHEN contains(x, '=') AND {O.sensitive("split_part(x, '=', 1)")} THEN concat(split_part(x, '=', 1), '=%5BREDACTED%5D') ELSE x END), '&') AS body FROM obs WHERE lower(content_type) = 'application/x-www-form-urlencoded'", *O.V)
@@ -398,24 +495,30 @@ def redact_form(spark, d):
     return df.select("id", R.redact_form(F.col("body")).alias("body"))
 
 
-_RQ = f"rq AS (SELECT id, string_agg(concat(url_encode(k), '=', url_encode(w)), '&' ORDER BY k, i) AS q FROM (SELECT DISTINCT id, k, CASE WHEN s THEN 0 ELSE i END AS i, CASE WHEN s THEN '[REDACTED]' ELSE v END AS w FROM (SELECT *, {O.sensitive('k')} AS s FROM qp)) GROUP BY id)"
-
-
-@query("redact_url", "SELECT id, CASE WHEN NOT u_ok THEN url ELSE concat(regexp_replace(url, '(?s)[?#].*\\z', ''), CASE WHEN q IS NOT NULL THEN concat('?', replace(q, '%20', '+')) ELSE '' END, CASE WHEN u_fragment <> '' THEN concat('#', u_fragment) ELSE '' END) END AS url FROM v LEFT JOIN rq USING (id)", *O.V, O.PAIRS, _RQ)
+@query("redact_url", "SELECT id, rurl AS url FROM ru", *O.V, O.PAIRS, O.REDACTED_QUERY, O.URLS)
 def redact_url(spark, d):
     return bridge.observations(spark, d).select("id", R.redact_url(F.col("url")).alias("url"))
 
 
-@query("redact_log_url")
+@query("redact_log_url", f"SELECT id, {O.LOG_URL} AS url FROM v LEFT JOIN rq USING (id)", *O.V, O.PAIRS, O.REDACTED_QUERY.replace("[REDACTED]", "<redacted>"))
 def redact_log_url(spark, d):
     return bridge.observations(spark, d).select("id", R.redact_log_url(F.col("url")).alias("url"))
 
 
-@query("redact_json")
+@query("redact_json", "SELECT id, rbody AS body FROM rb JOIN obs USING (id) WHERE body <> ''", *O.V, O.BODIES)
 def redact_json(spark, d):
     return bridge.observations(spark, d).where("body <> ''").select("id", R.redact_body(F.col("body")).alias("body"))
 
 
+def _api_hidden(x: str) -> str:
+    return f"({O.sensitive(x)} OR {O.has(f'lower({x})', 'password', 'token', 'secret', 'authorization', 'cookie')})"
+
+
+@query("redact_api_body", f"SELECT id, {O.redacted_body(_api_hidden)} AS body FROM obs WHERE body <> ''", *O.V)
+def redact_api_body(spark, d):
+    return bridge.observations(spark, d).where("body <> ''").select("id", R.redact_api_body(F.col("body")).alias("body"))
+
+
 @query("redact_jwt", "SELECT conv_id, turn, concat(text, ' [JWT_REDACTED:length=', CAST(length(t) AS VARCHAR), '] end') AS text FROM (SELECT *, concat('eyJ', md5(text), '.', md5(role), '.s') AS t FROM conversations)")
 def redact_jwt(spark, d):
     c = spark.read.parquet(f"{d}/conversations.parquet")
@@ -450,8 +553,77 @@ def request_detail(spark, d):
 @query("api_sql", "SELECT url, count(*) AS n FROM obs WHERE source_type ILIKE 'CDP%' AND instr(url, '?') > 0 AND source_type NOT IN ('cdp_policy_blocked') AND try_cast(regexp_extract(body, '\"k\": ?([0-9]+)', 1) AS INT) > 3 GROUP BY url ORDER BY n DESC", *O.V)
 def api_sql(spark, d):
     """Ad-hoc SQL of users, over a view of the observations."""
-    bridge.observations(spark, d).createOrReplaceTempView("observations")
-    return spark.sql("SELECT url, count(*) AS n FROM observations WHERE source_type ILIKE 'CDP%' AND instr(url, '?') > 0 AND source_type NOT IN ('cdp_policy_blocked') AND try_cast(get_json_object(body, '$.k') AS INT) > 3 GROUP BY url ORDER BY n DESC")
+    return _user_sql(spark, d, "SELECT url, count(*) AS n FROM observations WHERE source_type ILIKE 'CDP%' AND instr(url, '?') > 0 AND source_type NOT IN ('cdp_policy_blocked') AND try_cast(get_json_object(body, '$.k') AS INT) > 3 GROUP BY url ORDER BY n DESC")
+
+
+def _user_sql(spark, d, text: str) -> DataFrame:
+    """SQL over a view in which headers and the JSON format are JSON texts, as users of a database of requests have them."""
+    rows = bridge.observations(spark, d)
+    flags = U.content_flags(U.header_value(F.col("headers"), "Content-Type"))
+    is_json = flags["is_json"] & (F.col("body") != "") & C.is_json_object(F.col("body"))
+    shape = F.to_json(F.struct(is_json.alias("is_json"), F.when(is_json, F.col("body")).alias("payload")))
+    rows.withColumns({"headers": F.to_json("headers"), "json_format": shape}).createOrReplaceTempView("observations")
+    return spark.sql(text)
+
+
+@query("sql_headers", "SELECT method, url, \"authorization\" AS credential FROM obs WHERE \"authorization\" <> ''", *O.V)
+def sql_headers(spark, d):
+    return _user_sql(spark, d, "SELECT method, url, get_json_object(headers, '$.Authorization') AS credential FROM observations WHERE get_json_object(headers, '$.Authorization') IS NOT NULL")
+
+
+@query("sql_posts", "SELECT url, body_type, body FROM obs WHERE method = 'POST' AND source_type = 'cdp_observed'", *O.V)
+def sql_posts(spark, d):
+    return _user_sql(spark, d, "SELECT url, body_type, body FROM observations WHERE method = 'POST' AND source_type = 'cdp_observed'")
+
+
+@query("sql_json_requests", "SELECT method, url, body AS payload FROM ct JOIN obs USING (id) WHERE contains(mt, 'json') AND body <> '' AND json_type(CASE WHEN json_valid(body) THEN body END) = 'OBJECT'", *O.V, _MEDIA)
+def sql_json_requests(spark, d):
+    return _user_sql(spark, d, "SELECT method, url, get_json_object(json_format, '$.payload') AS payload FROM observations WHERE try_variant_get(parse_json(json_format), '$.is_json', 'boolean')")
+
+
+@query("sql_graphql", "SELECT method, url, body FROM obs WHERE source_type = 'graphql' OR lower(url) LIKE '%graphql%' OR lower(body) LIKE '%mutation%'", *O.V)
+def sql_graphql(spark, d):
+    return _user_sql(spark, d, "SELECT method, url, body FROM observations WHERE source_type = 'graphql' OR lower(url) LIKE '%graphql%' OR lower(body) LIKE '%mutation%'")
+
+
+@query("sql_scanner_urls", "SELECT DISTINCT url FROM obs WHERE method = 'GET' AND instr(url, '?') > 0", *O.V)
+def sql_scanner_urls(spark, d):
+    return _user_sql(spark, d, "SELECT DISTINCT url FROM observations WHERE method = 'GET' AND instr(url, '?') > 0")
+
+
+@query("sql_first_request", "SELECT id, created_at FROM obs WHERE created_at < current_timestamp ORDER BY created_at, id LIMIT 1", *O.V)
+def sql_first_request(spark, d):
+    """The first request before now; the limit is what is asked for."""
+    return _user_sql(spark, d, "SELECT id, created_at FROM observations WHERE created_at < current_timestamp() ORDER BY created_at, id LIMIT 1")
+
+
+@query("token_merge", "SELECT event_id, array_to_string(list_sort(list_distinct([concat('cookie theme ', v), concat('localStorage token ', v), CASE WHEN event_id % 2 = 0 THEN concat('cookie theme ', v) ELSE 'cookie csrf c' END])), '|') AS tokens, array_to_string(CASE WHEN event_type IN ('view', 'click') THEN ['view', 'click'] ELSE ['view', 'click', event_type] END, '|') AS kinds FROM (SELECT *, CAST(user_id % 5 AS VARCHAR) AS v FROM events)")
+def token_merge(spark, d):
+    """Two token lists of a session in one, sorted; and a list that takes what it does not hold yet."""
+    v = (F.col("user_id") % 5).cast("string")
+    token = lambda source, name, value: F.struct(F.lit(source).alias("source"), F.lit(name).alias("name"), value.alias("value"))
+    old, new = F.array(token("cookie", "theme", v), token("localStorage", "token", v)), F.array(F.when(F.col("event_id") % 2 == 0, token("cookie", "theme", v)).otherwise(token("cookie", "csrf", F.lit("c"))))
+    shown = F.transform(sessions.merged(old, new), lambda t: F.concat_ws(" ", t["source"], t["name"], t["value"]))
+    kinds = sessions.append_unique(F.array(F.lit("view"), F.lit("click")), F.col("event_type"))
+    return spark.read.parquet(f"{d}/events.parquet").select("event_id", F.array_join(shown, "|").alias("tokens"), F.array_join(kinds, "|").alias("kinds"))
+
+
+@query("workflow_fingerprints", "SELECT event_id, sha256(concat_ws(chr(0), 'form', 'https://app.example.test/work', 'dialog', concat('Step ', CAST(event_id % 2 AS VARCHAR)), concat('{\"f\":[{\"name\":\"', event_type, '\",\"required\":true}]}'), CASE WHEN event_id % 4 < 2 THEN 'sign in' ELSE 'sav' END)) AS form, sha256(concat_ws(chr(0), 'control', 'https://app.example.test/work', 'button', 'lik', concat('data-id=', CAST(user_id AS VARCHAR)))) AS control FROM events")
+def workflow_fingerprints(spark, d):
+    """A label's busy form, and states of a control that come and go, change no identity."""
+    n, url = F.col("event_id"), F.lit("HTTPS://App.Example.test:443/work/")
+    submit = F.element_at(F.array(*map(F.lit, ("Sign In", "Signing in...", "Save", " saving…"))), (n % 4 + 1).cast("int"))
+    fields = F.array(F.struct(F.col("event_type").alias("name"), F.lit(True).alias("required")))
+    form = report.form_fingerprint(url, F.lit("dialog"), F.concat(F.lit("Step "), (n % 2).cast("string")), fields, submit)
+    control = report.control_fingerprint(url, F.lit("button"), F.when(n % 2 == 0, "Like").otherwise("Liking..."), F.concat(F.lit("data-id="), F.col("user_id").cast("string")))
+    return spark.read.parquet(f"{d}/events.parquet").select("event_id", form.alias("form"), control.alias("control"))
+
+
+@query("script_endpoints", """SELECT page_id, k[1] AS kind, k[2] AS method, k[3] AS target FROM (SELECT page_id, unnest([['form', CASE WHEN page_id % 2 = 0 THEN 'POST' ELSE 'GET' END, concat('/form/', CAST(page_id % 7 AS VARCHAR))], ['fetch', 'GET', concat('/api/f/', CAST(page_id AS VARCHAR))],
+ ['axios', 'POST', concat('/api/x?a=', CAST(page_id % 3 AS VARCHAR))], ['xhr', 'PUT', '/api/o'], ['websocket', 'GET', concat('wss://ws.example.test/', CAST(page_id % 5 AS VARCHAR))], ['eventsource', 'GET', '/sse'], ['beacon', 'POST', '/beacon'],
+ ['import', 'GET', concat('/chunks/', CAST(page_id % 4 AS VARCHAR), '.js')], ['route', 'GET', '/users/:id'], ['route', 'GET', '/home']]) AS k FROM pages)""")
+def script_endpoints(spark, d):
+    return bridge.script_endpoints(bridge.scripted_pages(spark, d))
 
 
 _ASSETS = "assets AS (SELECT 'crawler' AS tool, 'standard' AS mode, url, 'GET' AS method, kind AS source, 'DISCOVERED_CANDIDATE' AS trust_class FROM links UNION ALL SELECT 'browser', 'browser', k.url, m, source_type, CASE WHEN source_type = 'cdp_observed' AND lifecycle_state = 'completed' AND cdp_request_id <> '' THEN 'CONFIRMED_BROWSER_REQUEST' ELSE 'DISCOVERED_CANDIDATE' END FROM inv JOIN k ON k.id = representative_request_id)"
@@ -471,9 +643,9 @@ def coverage_matrix(spark, d):
     return report.coverage(_assets(spark, d))
 
 
-@query("coverage_pivot", "SELECT 'raw_assets' AS metric, count(*) FILTER (tool = 'crawler') AS crawler, count(*) FILTER (tool = 'browser') AS browser FROM assets", *O.I, LINKS, _ASSETS)
+@query("coverage_pivot", "SELECT metric, max(n) FILTER (tool = 'crawler') AS crawler, max(n) FILTER (tool = 'browser') AS browser FROM (SELECT tool, 'raw_assets' AS metric, count(*) AS n FROM assets GROUP BY tool UNION ALL SELECT tool, 'confirmed_requests', count(*) FILTER (trust_class = 'CONFIRMED_BROWSER_REQUEST') FROM assets GROUP BY tool UNION ALL SELECT tool, 'unique_urls', count(DISTINCT url) FROM assets GROUP BY tool UNION ALL SELECT tool, 'methods', count(DISTINCT method) FROM assets GROUP BY tool) GROUP BY metric", *O.I, LINKS, _ASSETS)
 def coverage_pivot(spark, d):
-    return _assets(spark, d).withColumn("metric", F.lit("raw_assets")).groupBy("metric").pivot("tool", ["crawler", "browser"]).agg(F.count(F.lit(1)))
+    return report.coverage_metrics(_assets(spark, d))
 
 
 @query("confirmed_intersection", "SELECT template FROM z WHERE source_type IN ('anchor', 'navigation') INTERSECT SELECT template FROM z WHERE source_type = 'cdp_observed' AND lifecycle_state = 'completed' AND cdp_request_id <> ''", *O.Z)
@@ -493,29 +665,32 @@ def role_difference(spark, d):
     return k.where("auth = 'AUTHENTICATED'").select("identity").distinct().join(k.where("auth = 'ANONYMOUS'"), "identity", "left_anti")
 
 
-@query("finding_dedupe", "SELECT category, severity_normalized, endpoint_inventory_id, payload_hash, discovered_request_id FROM (SELECT concat('cat', CAST(event_id % 4 AS VARCHAR)) AS category, CASE event_id % 3 WHEN 0 THEN 'high' WHEN 1 THEN 'low' ELSE 'medium' END AS severity_normalized, k.inventory_id AS endpoint_inventory_id, sha256(body) AS payload_hash, id AS discovered_request_id, event_id FROM k WHERE event_id % 2 = 0) QUALIFY row_number() OVER (PARTITION BY category, endpoint_inventory_id ORDER BY event_id) = 1", *O.Z)
+@query("finding_dedupe", "SELECT category, method, origin, endpoint_template, parameter, rule, authentication_context, severity_normalized, endpoint_inventory_id, payload_hash, discovered_request_id FROM (SELECT concat('cat', CAST(event_id % 4 AS VARCHAR)) AS category, m AS method, origin, template AS endpoint_template, CASE WHEN event_id % 2 = 0 THEN 'query.user' ELSE '' END AS parameter, concat('rule', CAST(event_id % 3 AS VARCHAR)) AS rule, auth AS authentication_context, CASE event_id % 3 WHEN 0 THEN 'high' WHEN 1 THEN 'low' ELSE 'medium' END AS severity_normalized, k.inventory_id AS endpoint_inventory_id, sha256(body) AS payload_hash, id AS discovered_request_id, event_id FROM k) QUALIFY row_number() OVER (PARTITION BY category, method, origin, endpoint_template, parameter, rule, authentication_context ORDER BY event_id DESC) = 1", *O.Z)
 def finding_dedupe(spark, d):
-    k = inventory.captured(analyzed(spark, d)).where("event_id % 2 = 0")
+    k, n = inventory.captured(analyzed(spark, d)), F.col("event_id")
     raw = k.select(
-        F.concat(F.lit("cat"), (F.col("event_id") % 4).cast("string")).alias("category"), F.element_at(F.array(F.lit("High"), F.lit("LOW"), F.lit("Medium")), (F.col("event_id") % 3 + 1).cast("int")).alias("severity_raw"),
-        F.col("inventory_id").alias("endpoint_inventory_id"), F.col("body").alias("payload"), F.col("id").alias("discovered_request_id"), F.col("event_id").alias("seen"),
+        F.concat(F.lit("cat"), (n % 4).cast("string")).alias("category"), F.upper("method").alias("method"), "origin", F.col("template").alias("endpoint_template"), F.when(n % 2 == 0, "query.user").otherwise("").alias("parameter"),
+        F.concat(F.lit("rule"), (n % 3).cast("string")).alias("rule"), F.col("auth").alias("authentication_context"), F.element_at(F.array(F.lit("High"), F.lit("LOW"), F.lit("Medium")), (n % 3 + 1).cast("int")).alias("severity_raw"),
+        F.col("inventory_id").alias("endpoint_inventory_id"), F.col("body").alias("payload"), F.col("id").alias("discovered_request_id"), n.alias("seen"),
     )
-    return report.findings(raw).select("category", "severity_normalized", "endpoint_inventory_id", "payload_hash", "discovered_request_id")
+    return report.findings(raw).select(*report.FINDING_KEY, "severity_normalized", "endpoint_inventory_id", "payload_hash", "discovered_request_id")
 
 
-@query("submit_window_claim", "SELECT event_id AS submit_id, claim_id FROM (SELECT s.event_id, c.event_id AS claim_id, row_number() OVER (PARTITION BY s.event_id ORDER BY c.ts, c.event_id) AS k FROM events s JOIN events c ON c.user_id = s.user_id AND c.event_type = 'click' AND c.ts BETWEEN s.ts AND s.ts + INTERVAL 1 DAY WHERE s.event_type = 'signup') WHERE k = 1")
+@query("submit_window_claim", "SELECT submit_id, first(claim_id ORDER BY seen, claim_id) AS claim_id FROM (SELECT c.event_id AS claim_id, c.ts AS seen, first(s.event_id ORDER BY s.ts DESC, s.event_id DESC) AS submit_id FROM events s JOIN events c ON c.user_id = s.user_id AND c.event_type = 'click' AND c.event_id % 2 = s.event_id % 2 AND c.ts BETWEEN s.ts AND s.ts + INTERVAL 1 DAY WHERE s.event_type = 'signup' GROUP BY ALL) GROUP BY submit_id")
 def submit_window_claim(spark, d):
-    e = spark.read.parquet(f"{d}/events.parquet")
-    submits = e.where("event_type = 'signup'").select(F.col("event_id").alias("submit_id"), "user_id", F.col("ts").alias("submit"))
-    claims = e.where("event_type = 'click'").select(F.col("event_id").alias("claim_id"), "user_id", F.col("ts").alias("at"))
-    return report.claims(submits, claims, "user_id", "INTERVAL 1 DAY").select("submit_id", "claim_id")
+    """Same user, method and URL (two of them here, by the event's number), within a day; each side used once."""
+    e = spread(spark.read.parquet(f"{d}/events.parquet")).withColumns({"method": F.lit("POST"), "url": F.concat(F.lit("/login/"), (F.col("event_id") % 2).cast("string"))})
+    keys = ["user_id", "method", "url"]
+    submits = e.where("event_type = 'signup'").select(F.col("event_id").alias("submit_id"), *keys, F.col("ts").alias("submit"))
+    claims = e.where("event_type = 'click'").select(F.col("event_id").alias("claim_id"), *keys, F.col("ts").alias("at"))
+    return report.claims(submits, claims, keys, 86_400)
 
 
-@query("crawl_runs", "SELECT concat('u', CAST(user_id AS VARCHAR)) AS id, last(s ORDER BY ts, event_id) AS status, min(ts) FILTER (s = 'queued') AS created_at, min(ts) FILTER (s = 'running') AS started_at, max(ts) FILTER (s IN ('completed', 'failed')) AS completed_at FROM (SELECT *, CASE event_type WHEN 'view' THEN 'queued' WHEN 'click' THEN 'running' WHEN 'error' THEN 'failed' ELSE 'completed' END AS s FROM events) GROUP BY user_id")
+@query("crawl_runs", "SELECT concat('u', CAST(user_id AS VARCHAR)) AS id, last(s ORDER BY ts, event_id) AS status, min(ts) FILTER (s = 'queued') AS created_at, min(ts) FILTER (s = 'running') AS started_at, max(ts) FILTER (s IN ('completed', 'failed')) AS completed_at, last(props ORDER BY ts, event_id) FILTER (s = 'failed') AS error FROM (SELECT *, CASE event_type WHEN 'view' THEN 'queued' WHEN 'click' THEN 'running' WHEN 'error' THEN 'failed' ELSE 'completed' END AS s FROM events) GROUP BY user_id")
 def crawl_runs(spark, d):
     e = spark.read.parquet(f"{d}/events.parquet")
     state = F.when(F.col("event_type") == "view", "queued").when(F.col("event_type") == "click", "running").when(F.col("event_type") == "error", "failed").otherwise("completed")
-    return report.run_states(e.select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("id"), state.alias("state"), F.col("ts").alias("at"), "event_id"))
+    return report.run_states(e.select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("id"), state.alias("state"), F.col("ts").alias("at"), "event_id", F.col("props").alias("message")))
 
 
 @query("origin_allow_list", "SELECT page_id, ok AND n = 1 AS allowed FROM (SELECT page_id, o, count(*) OVER (PARTITION BY o) AS n, regexp_matches(o, '^https?://[^/?#@]+\\z') AS ok FROM (SELECT page_id, CASE WHEN page_id % 4 = 0 THEN url ELSE concat(array_to_string(string_split(url, '/')[1:3], '/'), CASE WHEN page_id % 3 = 0 THEN CAST(page_id AS VARCHAR) ELSE '' END) END AS o FROM pages))")
@@ -536,8 +711,13 @@ def token_extract(spark, d):
     return sessions.token_counts(rows)
 
 
-@query("stream_upsert")
+@query("stream_upsert", _HISTORY_SQL, *_HISTORY)
 def stream_upsert(spark, d):
     from ..streaming.upsert import run_batches
 
-    return run_batches(spark, bridge.observations(spark, d), 3)
+    return run_batches(spark, bridge.history(spark, d), 3, "save")
+
+
+@query("crawl_status", "SELECT id, status FROM (SELECT concat('u', CAST(user_id AS VARCHAR)) AS id, last(s ORDER BY ts, event_id) AS status FROM (SELECT *, CASE event_type WHEN 'view' THEN 'queued' WHEN 'click' THEN 'running' WHEN 'error' THEN 'failed' ELSE 'completed' END AS s FROM events) GROUP BY user_id) WHERE id = 'u7'")
+def crawl_status(spark, d):
+    return report.crawl_status(crawl_runs(spark, d), "u7").select("id", "status")

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .files import spread
+
 #: One flat row for each event.  Paths, bodies and headers go by remainders of the id, so that every rule gets rows.
 OBSERVATIONS_SQL = """
 WITH e AS (
@@ -38,7 +40,8 @@ b AS (
       WHEN 1 THEN concat('name=a+b&n=', CAST(user_id % 9 AS STRING), '&password=p', eid, '&flag=true')
       WHEN 2 THEN concat('{"query":"', CASE WHEN event_id % 4 = 0 THEN 'mutation M { a }' ELSE 'query Q { a }' END, '","operationName":"Q', CAST(event_id % 3 AS STRING), '","variables":{"id":', CAST(user_id % 7 AS STRING), ',"authToken":"s"}}')
       WHEN 3 THEN concat('--BbB', chr(13), chr(10), 'Content-Disposition: form-data; name="note"', chr(13), chr(10), chr(13), chr(10), 'v', CAST(user_id % 5 AS STRING), chr(13), chr(10), '--BbB', chr(13), chr(10),
-        'Content-Disposition: form-data; name="up"; filename="a.txt"', chr(13), chr(10), chr(13), chr(10), 'data', chr(13), chr(10), '--BbB--', chr(13), chr(10))
+        'Content-Disposition: form-data; name="up"; filename="a.txt"', chr(13), chr(10), chr(13), chr(10), 'data', chr(13), chr(10), '--BbB', chr(13), chr(10),
+        'Content-Disposition: form-data; name="sessionToken"', chr(13), chr(10), chr(13), chr(10), 'ab-', eid, chr(13), chr(10), '--BbB--', chr(13), chr(10))
       WHEN 4 THEN '<a/>' ELSE '' END ELSE '' END AS body
   FROM p)
 SELECT concat('r', eid) AS id, concat('c', CAST(event_id % 3 AS STRING)) AS crawl_id, CASE WHEN event_id % 4 = 0 THEN concat('t', CAST(event_id % 8 AS STRING)) ELSE '' END AS task_id,
@@ -55,6 +58,32 @@ SELECT concat('r', eid) AS id, concat('c', CAST(event_id % 3 AS STRING)) AS craw
 FROM b
 """
 
+_COLUMNS = [
+    "id", "crawl_id", "task_id", "page_url", "auth_session_id", "method", "url", "content_type", "accept", "authorization", "body", "body_type", "source_type", "lifecycle_state", "body_complete", "body_completeness_known",
+    "completeness_status", "status_code", "request_timestamp", "cdp_request_id", "created_at", "event_id", "user_id",
+]
+
+
+def _saved(save: int, where: str = "true", **changed: str) -> str:
+    columns = ", ".join(f"{changed[c]} AS {c}" if c in changed else f"o.{c}" for c in _COLUMNS)
+    return f"SELECT {columns}, {save} AS save FROM o WHERE {where}"
+
+
+#: Every request as it was saved, some of them two or three times: first seen, answered, completed.
+HISTORY_SQL = f"""
+WITH o AS ({OBSERVATIONS_SQL})
+{_saved(2)}
+UNION ALL {_saved(1, "event_id % 5 = 0", lifecycle_state="'response_received'", status_code="400", created_at="o.created_at - INTERVAL 1 MINUTE")}
+UNION ALL {_saved(0, "event_id % 3 = 0", lifecycle_state="'observed'", status_code="CAST(NULL AS INT)", body="''", created_at="o.created_at - INTERVAL 2 MINUTE")}
+"""
+
+#: Pages with a form and calls of every kind that scripts make, by fixed rules from the page's number.
+SCRIPTED_SQL = """
+SELECT page_id, url, concat(html, '<form method="', CASE WHEN page_id % 2 = 0 THEN 'post' ELSE 'GET' END, '" action="/form/', CAST(page_id % 7 AS STRING), '"></form>',
+  '<script>fetch("/api/f/', CAST(page_id AS STRING), '", {});axios.post(', chr(39), '/api/x?a=', CAST(page_id % 3 AS STRING), chr(39), ');x.open("PUT", "/api/o");new WebSocket("wss://ws.example.test/', CAST(page_id % 5 AS STRING), '");',
+  'new EventSource("/sse");navigator.sendBeacon("/beacon", 1);import("/chunks/', CAST(page_id % 4 AS STRING), '.js");routes = [{path: "/users/:id"}, {path:', chr(39), '/home', chr(39), '}]</script>') AS html FROM pages
+"""
+
 #: Pages, and their links resolved against the page's origin where they are root-relative.
 PAGE_HREF = 'href="([^"]*)"'
 
@@ -62,17 +91,27 @@ PAGE_HREF = 'href="([^"]*)"'
 def tables(spark: SparkSession, sf_dir: str, *names: str) -> None:
     """Temporary views of driver tables."""
     for n in names:
-        spark.read.parquet(f"{sf_dir}/{n}.parquet").createOrReplaceTempView(n)
+        spread(spark.read.parquet(f"{sf_dir}/{n}.parquet")).createOrReplaceTempView(n)
 
 
-def flat_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
+def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Observations in the engine's schema: headers as a map, the response as a nullable struct."""
     tables(spark, sf_dir, "events")
-    return spark.sql(OBSERVATIONS_SQL)
+    return _shaped(spark.sql(OBSERVATIONS_SQL))
 
 
-def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Observations in the engine's schema: headers as a map, the response as a nullable struct."""
-    flat = flat_observations(spark, sf_dir)
+def history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same, with a row for each time that a request was saved."""
+    tables(spark, sf_dir, "events")
+    return _shaped(spark.sql(HISTORY_SQL))
+
+
+def scripted_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tables(spark, sf_dir, "pages")
+    return spark.sql(SCRIPTED_SQL)
+
+
+def _shaped(flat: DataFrame) -> DataFrame:
     pairs = F.array(*(F.struct(F.lit(n).alias("key"), F.col(c).alias("value")) for n, c in (("Content-Type", "content_type"), ("Accept", "accept"), ("Authorization", "authorization"))))
     headers = F.map_from_entries(F.filter(pairs, lambda p: p["value"] != ""))
     response = F.when(F.col("status_code").isNotNull(), F.struct("status_code"))
@@ -81,7 +120,7 @@ def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """page_id, kind (page, anchor or script) and url of each page and each link or script source in it."""
-    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    pages = spread(spark.read.parquet(f"{sf_dir}/pages.parquet"))
     origin = F.substring_index("url", "/", 3)
     found = F.concat(
         F.array(F.struct(F.lit("page").alias("kind"), F.col("url").alias("target"))),
@@ -91,3 +130,31 @@ def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = pages.select("page_id", origin.alias("origin"), F.explode(found).alias("f")).select("page_id", "origin", "f.*")
     absolute = F.when(F.col("target").startswith("/") & ~F.col("target").startswith("//"), F.concat("origin", "target")).otherwise(F.col("target"))
     return rows.select("page_id", "kind", absolute.alias("url"))
+
+
+#: (kind, pattern, method or None where the pattern's first group has it) of what a page's markup and scripts call; the last
+#: group is the target.
+CALLS = [
+    ("form", r"""(?i)<form[^>]* method=["']?([a-z]+)["']?[^>]* action=["']([^"']*)["']""", None),
+    ("fetch", r"""\bfetch\(\s*["'`]([^"'`]+)["'`]""", "GET"),
+    ("axios", r"""\baxios\.(get|post|put|patch|delete|head)\(\s*["'`]([^"'`]+)["'`]""", None),
+    ("xhr", r"""\.open\(\s*["']([A-Za-z]+)["']\s*,\s*["'`]([^"'`]+)["'`]""", None),
+    ("websocket", r"""\bnew WebSocket\(\s*["'`]([^"'`]+)["'`]""", "GET"),
+    ("eventsource", r"""\bnew EventSource\(\s*["'`]([^"'`]+)["'`]""", "GET"),
+    ("beacon", r"""\bsendBeacon\(\s*["'`]([^"'`]+)["'`]""", "POST"),
+    ("import", r"""\bimport\(\s*["'`]([^"'`]+)["'`]""", "GET"),
+    ("route", r"""\bpath:\s*["'`](/[^"'`]*)["'`]""", "GET"),
+]
+
+
+def script_endpoints(pages: DataFrame) -> DataFrame:
+    """page_id, kind, method and target of every form and call that a page (page_id, html) makes; by patterns, so a hint and no
+    more."""
+
+    def found(kind: str, pattern: str, method: str | None):
+        group = lambda n: F.regexp_extract_all("html", F.lit(pattern), F.lit(n))
+        target = group(1 if method else 2)
+        verb = F.transform(target, lambda t: F.lit(method)) if method else group(1)
+        return F.transform(F.arrays_zip(verb.alias("m"), target.alias("t")), lambda z: F.struct(F.lit(kind).alias("kind"), F.upper(z["m"]).alias("method"), z["t"].alias("target")))
+
+    return pages.select("page_id", F.explode(F.concat(*(found(*call) for call in CALLS))).alias("x")).select("page_id", "x.*")
