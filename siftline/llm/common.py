@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 #: Size up to which an explicit broadcast is used; beyond it the same step runs as a shuffled join.
 BROADCAST_BYTES = 32 << 20
 
+#: An input of fewer bytes a core is dealt out evenly before long work on its rows.
+SMALL_SPLIT = 4 << 20
+
 #: The ASCII white space that separates words, and what deletes it.
 SPACE = " \t\n\x0b\x0c\r"
 
@@ -74,6 +77,14 @@ def small_batches(spark: SparkSession, rows: int = 1000, size: str = "8m") -> No
             spark.conf.set(key, value)
 
 
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A driver table; a small one, which may be a single split, is dealt out to all cores, as what follows is long work on
+    each row.  A table of more than ``SMALL_SPLIT`` bytes a core is left as it is."""
+    df, cores = spark.read.parquet(f"{sf_dir}/{name}.parquet"), spark.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < cores * SMALL_SPLIT else df
+
+
 def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, as_documents, parts, semi, settle
+from .common import SPACE, as_documents, parts, read, semi, settle
 from .quotient import CountingQuotientFilter
 
 
@@ -85,7 +85,7 @@ def exact_dedup(docs: DataFrame, block_rows: int = 1 << 20) -> DataFrame:
 
 
 def op4_exact_dedup(spark, sf_dir: str) -> DataFrame:
-    return exact_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return exact_dedup(read(spark, sf_dir, "documents"))
 
 
 SQL = r"""

@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_documents, settle
+from .common import as_documents, read, settle
 from .words import mix, text_chunks, word_hashes, word_spans
 
 BLOCK, STEP, CELLS, RESCALE = 8192, 2048, 1 << 18, 8
@@ -383,7 +383,7 @@ def held_out() -> F.Column:
 
 
 def op6_language_id(spark, sf_dir: str) -> DataFrame:
-    docs = as_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), {"doc_id": "long", "text": "string", "lang": "string"})
+    docs = as_documents(read(spark, sf_dir, "documents"), {"doc_id": "long", "text": "string", "lang": "string"})
     pieces = vocabulary()
     probs = train(docs.where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull()), pieces)
     return predict(docs, probs, pieces).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")

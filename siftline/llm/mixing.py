@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_documents, forget, settle
+from .common import as_documents, forget, read, settle
 from .features import SAMPLE, STYLES, Adam, choose_vocabulary, labelled_sample, sample_matrix, sparse
 from .packing import vocabulary_path, worker_encoder
 from .words import text_chunks
@@ -146,4 +146,4 @@ def mix(docs: DataFrame, labels: DataFrame, shares: dict[str, float] | None = No
 
 
 def op10_mixing(spark, sf_dir: str) -> DataFrame:
-    return mix(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")).drop("salt")
+    return mix(read(spark, sf_dir, "documents"), spark.read.parquet(f"{sf_dir}/labels.parquet")).drop("salt")

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, as_documents, forget, settle
+from .common import BROADCAST_BYTES, as_documents, forget, read, settle
 from .components import components
 from .words import _splitmix, mix, text_chunks, windows, word_hashes, word_spans
 
@@ -229,7 +229,7 @@ def _prefix_pairs(rest: DataFrame, sets: DataFrame, percent: int, used: list) ->
 
 
 def op3_near_dedup(spark, sf_dir: str) -> DataFrame:
-    return near_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return near_dedup(read(spark, sf_dir, "documents"))
 
 
 SQL = r"""

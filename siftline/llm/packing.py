@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, as_documents, parts, settle
+from .common import BROADCAST_BYTES, as_documents, parts, read, settle
 from .words import text_chunks, word_hashes, word_spans
 
 SIZE, END = 4096, 1
@@ -373,5 +373,5 @@ def pack_documents(docs: DataFrame, size: int = SIZE, end: int = END, path: str
 
 
 def op7_best_fit_packing(spark, sf_dir: str) -> DataFrame:
-    out = pack_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    out = pack_documents(read(spark, sf_dir, "documents"))
     return out.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")

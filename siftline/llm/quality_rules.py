@@ -18,7 +18,7 @@ import warnings
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, as_documents, settle
+from .common import SPACE, as_documents, read, settle
 
 WINDOW = 8
 SYMBOLS = "#*$%&|<>"
@@ -163,4 +163,4 @@ def quality_rules(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
 
 
 def op1_quality_rules(spark, sf_dir: str) -> DataFrame:
-    return quality_rules(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return quality_rules(read(spark, sf_dir, "documents"))

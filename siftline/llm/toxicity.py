@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_documents
+from .common import as_documents, read
 from .features import SAMPLE, STYLES, Adam, choose_vocabulary, labelled_sample, sample_matrix, sparse
 from .words import text_chunks
 
@@ -103,4 +103,4 @@ def toxicity(docs: DataFrame, labels: DataFrame, vocabulary: int = VOCABULARY, s
 
 
 def op2_toxicity(spark, sf_dir: str) -> DataFrame:
-    return toxicity(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity(read(spark, sf_dir, "documents"), spark.read.parquet(f"{sf_dir}/labels.parquet"))

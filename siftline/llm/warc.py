@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, as_documents, drop_path, settle, work_path
+from .common import BROADCAST_BYTES, as_documents, drop_path, read, settle, work_path
 
 CRLF = "\r\n"
 #: Most bytes of a file before compression, and the size up to which records are of the smallest order.
@@ -189,7 +189,7 @@ def dedup_pages(pages: DataFrame, least: int = 1000, date: str | None = None) ->
 
 
 def op9_warc_revisits(spark, sf_dir: str) -> DataFrame:
-    records, _ = dedup_pages(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    records, _ = dedup_pages(read(spark, sf_dir, "pages"))
     return records.select("page_id", "payload_bytes", F.col("digest").alias("payload_digest"), "record_type", "refers_to")
 
 

@@ -3,7 +3,7 @@
 A word is a maximal run of bytes other than space, tab, line feed, vertical tab, form feed and carriage
 return (``[^\\x20\\x09-\\x0D]+``).  All work is numpy over the Arrow buffers of a batch: no Python loop
 touches single words.  Word hashes are 64-bit polynomials with a random value per byte; they are the same
-in every process.  Temporary arrays are bounded by ``PIECE`` bytes of text (or by one longer word).
+in every process.  Temporary arrays of hashing are bounded by ``PIECE`` bytes of text; longer words are taken in pieces.
 """
 
 from __future__ import annotations
@@ -52,10 +52,10 @@ def _tables(lower: bool) -> np.ndarray:
 _POWERS: dict[str, np.ndarray] = {}
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd multiplier and of its inverse modulo 2**64, ``n`` at least."""
-    if "p" not in _POWERS or len(_POWERS["p"]) < n:
-        size = max(n, PIECE + 4096)
+def _powers() -> tuple[np.ndarray, np.ndarray]:
+    """``PIECE`` powers of an odd multiplier and of its inverse modulo 2**64."""
+    if len(_POWERS.get("p", ())) < PIECE + 1:
+        size = PIECE + 1
         for key, base in (("p", _MUL), ("i", pow(_MUL, -1, 1 << 64))):
             out = np.ones(size, np.uint64)
             done, step = 1, base
@@ -108,14 +108,28 @@ def word_spans(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts, np.flatnonzero(last) + 1, np.diff(np.searchsorted(starts, off))
 
 
+def _long_hash(buf: np.ndarray, a: int, b: int, table: np.ndarray) -> int:
+    """The polynomial of one long word, ``PIECE`` bytes at a time."""
+    p, total, scale = _powers()[0], 0, 1
+    for at in range(a, b, PIECE):
+        vals = table[buf[at : min(at + PIECE, b)]]
+        total += int((vals * p[: len(vals)]).sum(dtype=np.uint64)) * scale
+        scale = scale * pow(_MUL, PIECE, 1 << 64) % (1 << 64)
+    return total % (1 << 64)
+
+
 def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = False) -> np.ndarray:
     """A 64-bit hash of each word."""
     out = np.empty(len(starts), np.uint64)
     table, i = _tables(lower), 0
     while i < len(starts):
-        j = max(i + 1, int(np.searchsorted(ends, starts[i] + PIECE, "right")))
+        j = int(np.searchsorted(ends, starts[i] + PIECE, "right"))
+        if j <= i:
+            out[i] = _long_hash(buf, int(starts[i]), int(ends[i]), table)
+            i += 1
+            continue
         a, b = int(starts[i]), int(ends[j - 1])
-        p, q = _powers(b - a)
+        p, q = _powers()
         vals = table[buf[a:b]]
         vals *= p[: b - a]
         rel = starts[i:j] - a

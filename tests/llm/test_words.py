@@ -85,6 +85,16 @@ def test_packing_plan(lengths):
     assert sum(n for _, n in patterns) <= sum(n for _, n in packing.best_fit(classes, 100))
 
 
+def test_long_words_in_pieces(monkeypatch):
+    text = np.frombuffer(b"short " + b"abcXYZ" * 50 + b" " + b"q" * 64 + b" end", np.uint8)
+    starts, ends, _ = words.word_spans(text, np.array([0, len(text)]))
+    want = [words.word_hashes(text, starts, ends, lower) for lower in (False, True)]
+    monkeypatch.setattr(words, "_POWERS", {})
+    monkeypatch.setattr(words, "PIECE", 64)
+    for lower in (False, True):
+        assert (words.word_hashes(text, starts, ends, lower) == want[lower]).all()
+
+
 def test_local_search_empties_bins():
     bins = [[60, 30], [50, 40], [20, 20]]  # 220 fit in three; four bins below hold what three can
     assert sum(n for _, n in packing.local_search([((70, 25), 1), ((65, 30), 1), ((35,), 1), ((5, 30, 40), 1)], 100)) == 3
