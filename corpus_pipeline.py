@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftline.llm.common import BROADCAST_BYTES, parts, settle
+from siftline.llm.common import BROADCAST_BYTES, forget, parts, settle
 from siftline.llm.exact_dedup import exact_dedup
 from siftline.llm.mixing import mix
 from siftline.llm.near_dedup import near_dedup
@@ -82,5 +82,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents table; each result is written as Parquet and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = settle(stage(spark, docs, sf_dir), name)
+        before, docs = docs, settle(stage(spark, docs, sf_dir), name)
+        forget(before)
     return docs

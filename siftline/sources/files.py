@@ -77,11 +77,12 @@ def write_document(items: DataFrame, head: str, tail: str, path: str) -> None:
     rows.select(F.col("n").cast("long"), "value").union(ends).orderBy("n").select("value").coalesce(1).write.mode("overwrite").text(path)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """``df``, or where a small input comes in fewer partitions than there are cores, its rows dealt out to all of them: what
-    follows is long work on each row.  An input of cluster size is left as it is."""
+def spread(df: DataFrame, small_split: int = 4 << 20) -> DataFrame:
+    """``df``, or where the input is small, and so may be a single split, its rows dealt out to all cores: what follows is long
+    work on each row.  An input of more than ``small_split`` bytes a core is left as it is."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if not df.isStreaming and df.rdd.getNumPartitions() < cores else df
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < cores * small_split else df
 
 
 def shared_folder(spark: SparkSession) -> str:
