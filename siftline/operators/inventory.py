@@ -69,10 +69,14 @@ def guard(observations: DataFrame) -> DataFrame:
     return rows.select("id", F.lit("UNKNOWN").alias("classification"), F.lit("NOT_REPLAYABLE").alias("replayability"), "reason", F.lit(0).alias("parameters"))
 
 
+def _enters() -> Column:
+    seen = (F.col("source_type") == "cdp") | F.col("source_type").startswith("cdp_")
+    return seen & ~F.col("blocked") & (F.col("lifecycle_state") != "policy_enforcement_failed")
+
+
 def captured(analyzed: DataFrame) -> DataFrame:
     """Rows that enter the inventory: seen in the browser, and not stopped by policy."""
-    seen = (F.col("source_type") == "cdp") | F.col("source_type").startswith("cdp_")
-    return analyzed.where(seen & ~F.col("blocked") & (F.col("lifecycle_state") != "policy_enforcement_failed"))
+    return analyzed.where(_enters())
 
 
 def best_first() -> Column:
@@ -112,12 +116,23 @@ def inventory(analyzed: DataFrame, any_changed: Column | None = None, **payload:
     )
 
 
+def _newest() -> Column:
+    """Order of a request's saves: one that policy stopped comes last."""
+    return F.struct(F.col("lifecycle_state").isin("blocked_by_policy", "policy_enforcement_failed").alias("s"), F.col("created_at"))
+
+
+def emptied(analyzed: DataFrame) -> DataFrame:
+    """Keys of groups that a save of a request was in, and that no request's newest row is in: what an upkeep deletes."""
+    per = analyzed.groupBy("id").agg(F.max_by(F.when(_enters(), F.col("inventory_id")).otherwise(""), _newest()).alias("now"), F.collect_set(F.when(_enters(), F.col("inventory_id"))).alias("seen"))
+    groups = per.select("now", F.explode("seen").alias("inventory_id")).groupBy("inventory_id").agg(F.bool_or(F.col("now") == F.col("inventory_id")).alias("alive"))
+    return groups.where("NOT alive").select("inventory_id")
+
+
 def latest(analyzed: DataFrame) -> DataFrame:
     """The newest row of each request id, with the status codes of all its rows of the same shape; a request that policy
     stopped stays stopped, whatever comes later."""
-    stopped = F.col("lifecycle_state").isin("blocked_by_policy", "policy_enforcement_failed")
     every = [c for c in analyzed.columns if c not in ("id", "statuses")]
-    picked = analyzed.groupBy("id").agg(F.max_by(F.struct(*every), F.struct(stopped.alias("s"), F.col("created_at"))).alias("row"), F.collect_set(F.struct("inventory_id", "statuses")).alias("seen"))
+    picked = analyzed.groupBy("id").agg(F.max_by(F.struct(*every), _newest()).alias("row"), F.collect_set(F.struct("inventory_id", "statuses")).alias("seen"))
     mine = F.filter("seen", lambda x: x["inventory_id"] == F.col("row.inventory_id"))
     return picked.select("id", "row.*", F.array_sort(F.array_distinct(F.flatten(F.transform(mine, lambda x: x["statuses"])))).alias("statuses"))
 

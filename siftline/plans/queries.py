@@ -378,6 +378,12 @@ def inventory_history(spark, d):
     return inventory.inventory(inventory.latest(inventory.analyze(bridge.history(spark, d))))
 
 
+@query("emptied_groups", "SELECT inventory_id FROM z WHERE (source_type = 'cdp' OR starts_with(source_type, 'cdp_')) AND NOT blocked AND lifecycle_state <> 'policy_enforcement_failed' EXCEPT SELECT inventory_id FROM k2", *_HISTORY)
+def emptied_groups(spark, d):
+    """Groups that their requests have left."""
+    return inventory.emptied(inventory.analyze(bridge.history(spark, d)))
+
+
 @query("rebuild_affected", "SELECT inv.* FROM inv WHERE inventory_id IN (SELECT inventory_id FROM k WHERE lifecycle_state = 'loadingFinished')", *O.I)
 def rebuild_affected(spark, d):
     """Groups with a request that has just finished loading, from full rows of the group: one analysis, one aggregate."""
