@@ -53,13 +53,15 @@ _SENSITIVE = rf"(^|_)({'|'.join(SENSITIVE_WORDS)})(_|{_END})|{'|'.join(SENSITIVE
 
 
 def sensitive_name(name: Column) -> Column:
-    """Whether a parameter, header or field name stands for a secret.  camelCase, dashes, dots and brackets count as word ends."""
+    """Whether a parameter, header or field name stands for a secret.  camelCase, dashes, dots and brackets count as word ends.
+    Most names hold none of the words at all, and are done with at the first look."""
+    maybe = F.lower(F.translate(name, "]", "")).rlike("|".join(dict.fromkeys(SENSITIVE_WORDS + SENSITIVE_PARTS)))
     for pattern, to in _SPLIT:
         name = F.regexp_replace(name, pattern, to)
     name = F.lower(name)
     for pattern, to in _TRIM:
         name = F.regexp_replace(name, pattern, to)
-    return name.rlike(_SENSITIVE)
+    return F.when(maybe, name.rlike(_SENSITIVE)).otherwise(False)
 
 
 def is_sensitive(name: str) -> bool:

@@ -157,7 +157,7 @@ def test_infer_type(spark, text, want):
     assert value(spark, P.infer_type(F.col("v")), v=text) == want
 
 
-@pytest.mark.parametrize("name,want", [("password", True), ("accessToken", True), ("X-CSRF", True), ("user[session]", True), ("tokens", True), ("name", False), ("secretary", False), ("client_secret", True), ("monkey", False)])
+@pytest.mark.parametrize("name,want", [("password", True), ("accessToken", True), ("X-CSRF", True), ("user[session]", True), ("tokens", True), ("name", False), ("secretary", False), ("client_secret", True), ("monkey", False), ("pass]word", True), ("passWord", False), (" Set-Cookie ", True), ("cookies", False), ("x_secret", True)])
 def test_sensitive_names(spark, name, want):
     assert value(spark, C.sensitive_name(F.col("n")), n=name) is want
     assert C.is_sensitive(name) is want
