@@ -392,10 +392,12 @@ def rebuild_affected(spark, d):
 
 @query("orphan_check", "SELECT 'parameters' AS child, count(*) AS orphans FROM (SELECT inventory_id FROM params JOIN k USING (id)) x ANTI JOIN inv USING (inventory_id) UNION ALL SELECT 'observations', count(*) FROM k ANTI JOIN inv USING (inventory_id)", *O.I)
 def orphan_check(spark, d):
+    """Children without a group; they are counted by key first, so that the anti join has a row a key."""
     a = analyzed(spark, d)
-    keys = inventory.inventory(a).select("inventory_id")
-    count = lambda df, n: df.join(keys, "inventory_id", "left_anti").agg(F.lit(n).alias("child"), F.count(F.lit(1)).alias("orphans"))
-    return count(inventory.request_parameters(inventory.captured(a)), "parameters").union(count(inventory.captured(a), "observations"))
+    children = inventory.captured(a).groupBy("inventory_id").agg(F.count(F.lit(1)).alias("observations"), F.sum(F.size("parameters")).alias("parameters"))
+    lost = children.join(inventory.inventory(a).select("inventory_id"), "inventory_id", "left_anti")
+    sums = lost.agg(*(F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c) for c in ("observations", "parameters")))
+    return sums.unpivot([], ["observations", "parameters"], "child", "orphans")
 
 
 _CAND = "cand AS (SELECT id, inventory_id, replayability, 'REQUEST' AS kind, request_eligible AS eligible, request_reason AS reason FROM k UNION ALL SELECT id, inventory_id, replayability, 'QUERY', query_eligible, query_reason FROM k)"
@@ -656,8 +658,10 @@ def coverage_pivot(spark, d):
 
 @query("confirmed_intersection", "SELECT template FROM z WHERE source_type IN ('anchor', 'navigation') INTERSECT SELECT template FROM z WHERE source_type = 'cdp_observed' AND lifecycle_state = 'completed' AND cdp_request_id <> ''", *O.Z)
 def confirmed_intersection(spark, d):
-    a = obs(spark, d)
-    return a.where(F.col("source_type").isin("anchor", "navigation")).select("template").intersect(a.where(C.trust_class() == "CONFIRMED_BROWSER_REQUEST").select("template"))
+    """Templates that both a link and the browser know: an intersection in one pass."""
+    found = F.col("source_type").isin("anchor", "navigation")
+    both = obs(spark, d).groupBy("template").agg(F.bool_or(found).alias("found"), F.bool_or(C.trust_class() == "CONFIRMED_BROWSER_REQUEST").alias("seen"))
+    return both.where("found AND seen").select("template")
 
 
 @query("workflow_yield", "SELECT task_id, count(DISTINCT id) AS application_request_count, count(DISTINCT identity) FILTER (e_tasks = 1) AS new_endpoint_count, count(DISTINCT schema_hash) FILTER (s_tasks = 1) AS new_schema_count FROM (SELECT k.*, (SELECT count(DISTINCT task_id) FROM k x WHERE x.identity = k.identity) AS e_tasks, (SELECT count(DISTINCT task_id) FROM k x WHERE x.schema_hash = k.schema_hash) AS s_tasks FROM k) WHERE task_id <> '' GROUP BY task_id", *O.Z)
@@ -667,8 +671,9 @@ def workflow_yield(spark, d):
 
 @query("role_difference", "SELECT DISTINCT identity FROM k WHERE auth = 'AUTHENTICATED' AND identity NOT IN (SELECT identity FROM k WHERE auth = 'ANONYMOUS')", *O.Z)
 def role_difference(spark, d):
-    k = inventory.captured(analyzed(spark, d))
-    return k.where("auth = 'AUTHENTICATED'").select("identity").distinct().join(k.where("auth = 'ANONYMOUS'"), "identity", "left_anti")
+    """Endpoints that only authenticated requests reach: a set difference in one pass."""
+    per = inventory.captured(analyzed(spark, d)).groupBy("identity").agg(F.bool_or(F.col("auth") == "AUTHENTICATED").alias("inside"), F.bool_or(F.col("auth") == "ANONYMOUS").alias("outside"))
+    return per.where("inside AND NOT outside").select("identity")
 
 
 @query("finding_dedupe", "SELECT category, method, origin, endpoint_template, parameter, rule, authentication_context, severity_normalized, endpoint_inventory_id, payload_hash, discovered_request_id FROM (SELECT concat('cat', CAST(event_id % 4 AS VARCHAR)) AS category, m AS method, origin, template AS endpoint_template, CASE WHEN event_id % 2 = 0 THEN 'query.user' ELSE '' END AS parameter, concat('rule', CAST(event_id % 3 AS VARCHAR)) AS rule, auth AS authentication_context, CASE event_id % 3 WHEN 0 THEN 'high' WHEN 1 THEN 'low' ELSE 'medium' END AS severity_normalized, k.inventory_id AS endpoint_inventory_id, sha256(body) AS payload_hash, id AS discovered_request_id, event_id FROM k) QUALIFY row_number() OVER (PARTITION BY category, method, origin, endpoint_template, parameter, rule, authentication_context ORDER BY event_id DESC) = 1", *O.Z)
