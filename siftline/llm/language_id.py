@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_documents, read, settle
+from .common import as_documents, forget, read, settle
 from .words import mix, text_chunks, word_hashes, word_spans
 
 BLOCK, STEP, CELLS, RESCALE = 8192, 2048, 1 << 18, 8
@@ -285,19 +285,34 @@ def hash_name(name: str) -> int:
     return zlib.crc32(name.encode()) | len(name) << 32
 
 
-def _expected_counts(pieces: list[str], probs):
-    """Sum of expected piece counts of a partition's words, a row a language and piece; piece -1 is the log-likelihood."""
+def _expected_counts(pieces: list[str], probs, most: int = 4 << 20):
+    """Sum of expected piece counts of a partition's words, a row a language and piece; piece -1 is the log-likelihood.  Words
+    are taken together up to ``most`` bytes, so that the recursions run over many at once."""
 
     def run(batches):
         find, total = Pieces(pieces), {}
-        for batch in batches:
-            langs = np.array(batch.column(0).to_pylist(), object)
-            words, n = batch.column(1).to_pylist(), batch.column(2).to_numpy().astype(float)
-            for lang in set(langs):
-                mine = np.flatnonzero(langs == lang)
-                got, likely = expected(probs.value[lang], find, [words[i] for i in mine.tolist()], n[mine])
+        held: list = []
+        size = 0
+
+        def add() -> None:
+            table = pa.Table.from_batches(held).combine_chunks()
+            names = table.column("lang").combine_chunks().dictionary_encode()
+            which = names.indices.to_numpy(zero_copy_only=False)
+            for k, lang in enumerate(names.dictionary.to_pylist()):
+                mine = table.filter(pa.array(which == k))
+                got, likely = expected(probs.value[lang], find, mine.column("word").to_pylist(), mine.column("n").to_numpy().astype(float))
                 was = total.get(lang, (0, 0))
                 total[lang] = was[0] + got, was[1] + likely
+            held.clear()
+
+        for batch in batches:
+            held.append(batch)
+            size += batch.nbytes
+            if size > most:
+                add()
+                size = 0
+        if held:
+            add()
         for lang, (got, likely) in total.items():
             some = np.flatnonzero(got > 0)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * (len(some) + 1), pa.string()), pa.array(np.r_[-1, some].astype(np.int32)), pa.array(np.r_[likely, got[some]])], ["lang", "piece", "e"])
@@ -327,10 +342,12 @@ def train(docs: DataFrame, pieces: list[str], rounds: int = 20, smooth: float =
             count[piece[mine]] += e[mine]
             probs[lang] = count / count.sum()
         if was is not None and likely - was <= close * abs(was):
-            return probs
+            break
         was = likely
-    if probs and rounds > 1:
-        warnings.warn(f"language identification: the likelihood still gains after {rounds} rounds", stacklevel=2)
+    else:
+        if probs and rounds > 1:
+            warnings.warn(f"language identification: the likelihood still gains after {rounds} rounds", stacklevel=2)
+    forget(types)
     return probs
 
 
