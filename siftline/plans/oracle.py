@@ -10,12 +10,12 @@ SEGMENTS = [
     ("{uuid}", "(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[12345][0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}$"), ("{cve}", "(?i)^cve-[0-9]{4}-[0-9]{4}[0-9]*$"), ("{cpe}", "(?i)^cpe:2[.]3:"),
     ("{int}", "^[0-9]+$"), ("{hash}", "(?i)^[0-9a-f]{20}[0-9a-f]*$"), ("{id}", "^[A-Za-z0-9_-]{24}[A-Za-z0-9_-]*$"),
 ]
-STATIC = ".js .css .map .png .jpg .jpeg .gif .svg .ico .webp .woff .woff2 .ttf .eot .mp4 .webm .pdf".split()
-NOISE = "_rsc _ fbclid gclid page limit offset".split()
-SENSITIVE_WORDS = "password passwd passcode token accesstoken refreshtoken idtoken authorization cookie session csrf xsrf secret".split()
-SENSITIVE_PARTS = "password token session csrf authorization".split()
-CANDIDATE_CLASSES = "APPLICATION GRAPHQL PARAMETERIZED_NAVIGATION AUTH_API AUTH_RECOVERY_API".split()
-QUERY_CLASSES = "APPLICATION GRAPHQL PARAMETERIZED_NAVIGATION".split()
+STATIC = [".js", ".css", ".map", ".png", ".jpg", ".jpeg", ".gif", ".svg", ".ico", ".webp", ".woff", ".woff2", ".ttf", ".eot", ".mp4", ".webm", ".pdf"]
+NOISE = ["_rsc", "_", "fbclid", "gclid", "page", "limit", "offset"]
+SENSITIVE_WORDS = ["password", "passwd", "passcode", "token", "accesstoken", "refreshtoken", "idtoken", "authorization", "cookie", "session", "csrf", "xsrf", "secret"]
+SENSITIVE_PARTS = ["password", "token", "session", "csrf", "authorization"]
+CANDIDATE_CLASSES = ["APPLICATION", "GRAPHQL", "PARAMETERIZED_NAVIGATION", "AUTH_API", "AUTH_RECOVERY_API"]
+QUERY_CLASSES = ["APPLICATION", "GRAPHQL", "PARAMETERIZED_NAVIGATION"]
 
 
 def texts(values) -> str:

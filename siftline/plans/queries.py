@@ -263,10 +263,19 @@ CONFIG = C.PolicyConfig(allow_mutations=True, read_only_graphql=(("/GraphQL", ""
 
 
 #: What each policy rule says, for the SQL.
-_WORDS = (
-    "READ_ONLY=read-only method;LOGOUT_BLOCKED=logout disabled;RECOVERY_BLOCKED=recovery disabled;ACCOUNT_CREATION_BLOCKED=account creation disabled;FILE_UPLOAD_BLOCKED=file uploads disabled;DELETE_BLOCKED=destructive actions disabled;"
-    "GRAPHQL_QUERY=explicit read-only GraphQL rule;AUTH_EXACT=exact active authentication request;MUTATION_BLOCKED=mutations disabled;UNKNOWN_METHOD=unknown non-read-only method;MUTATIONS_ENABLED=mutations explicitly enabled"
-)
+_WORDS = {
+    "READ_ONLY": "read-only method",
+    "LOGOUT_BLOCKED": "logout disabled",
+    "RECOVERY_BLOCKED": "recovery disabled",
+    "ACCOUNT_CREATION_BLOCKED": "account creation disabled",
+    "FILE_UPLOAD_BLOCKED": "file uploads disabled",
+    "DELETE_BLOCKED": "destructive actions disabled",
+    "GRAPHQL_QUERY": "explicit read-only GraphQL rule",
+    "AUTH_EXACT": "exact active authentication request",
+    "MUTATION_BLOCKED": "mutations disabled",
+    "UNKNOWN_METHOD": "unknown non-read-only method",
+    "MUTATIONS_ENABLED": "mutations explicitly enabled",
+}
 
 
 def _policy_sql(config: C.PolicyConfig, exact: str | None = None) -> str:
@@ -283,10 +292,9 @@ def _policy_sql(config: C.PolicyConfig, exact: str | None = None) -> str:
         ("m NOT IN ('POST', 'PUT', 'PATCH', 'DELETE')", "BLOCK", "UNKNOWN_METHOD", True),
     ]
     when = [(t, a, r) for t, a, r, on in lead if on]
-    words = dict(x.split("=") for x in _WORDS.split(";"))
     action, rule = (" ".join(f"WHEN {w[0]} THEN '{w[k]}'" for w in when) for k in (1, 2))
-    why = " ".join(f"WHEN {w[0]} THEN '{words[w[2]]}'" for w in when)
-    return f"SELECT id, CASE {action} ELSE 'ALLOW' END AS action, CASE {rule} ELSE 'MUTATIONS_ENABLED' END AS rule_id, CASE {why} ELSE '{words["MUTATIONS_ENABLED"]}' END AS reason FROM (SELECT *, CASE WHEN op <> '' THEN coalesce(json_extract_string({js}, '$.operationName'), '') ELSE '' END AS name FROM (SELECT *, {op} AS op FROM v))"
+    why = " ".join(f"WHEN {w[0]} THEN '{_WORDS[w[2]]}'" for w in when)
+    return f"SELECT id, CASE {action} ELSE 'ALLOW' END AS action, CASE {rule} ELSE 'MUTATIONS_ENABLED' END AS rule_id, CASE {why} ELSE '{_WORDS["MUTATIONS_ENABLED"]}' END AS reason FROM (SELECT *, CASE WHEN op <> '' THEN coalesce(json_extract_string({js}, '$.operationName'), '') ELSE '' END AS name FROM (SELECT *, {op} AS op FROM v))"
 
 
 @query("policy_decision", _policy_sql(C.PolicyConfig()), *O.V)
