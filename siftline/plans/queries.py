@@ -14,7 +14,7 @@ from ..functions import params as P
 from ..functions import redact as R
 from ..functions import urls as U
 from ..operators import export, inventory, report, sessions
-from ..sources import bridge
+from ..sources import bridge, files
 from ..sources.files import spread
 from . import oracle as O
 from .oracle import sql
@@ -740,3 +740,66 @@ def stream_upsert(spark, d):
 @query("crawl_status", "SELECT id, status FROM (SELECT concat('u', CAST(user_id AS VARCHAR)) AS id, last(s ORDER BY ts, event_id) AS status FROM (SELECT *, CASE event_type WHEN 'view' THEN 'queued' WHEN 'click' THEN 'running' WHEN 'error' THEN 'failed' ELSE 'completed' END AS s FROM events) GROUP BY user_id) WHERE id = 'u7'")
 def crawl_status(spark, d):
     return report.crawl_status(crawl_runs(spark, d), "u7").select("id", "status")
+
+
+# -- sources and sinks: what is written is what is read
+
+
+def _at(spark, name: str) -> str:
+    return f"{files.shared_folder(spark)}/{name}"
+
+
+@query("json_array_source", "SELECT id, method, url, body, content_type, status_code FROM obs", *O.V)
+def json_array_source(spark, d):
+    """Captured requests as JSON arrays, one a file, of at most 5,000 requests each."""
+    rows, path = bridge.observations(spark, d), _at(spark, "arrays")
+    one = F.to_json(F.struct("id", "crawl_id", "task_id", "page_url", "auth_session_id", "method", "url", "headers", "body", "body_type", "source_type", "resource_type", "lifecycle_state", "response"))
+    arrays = rows.select(F.floor(F.col("event_id") / 5000).alias("part"), one.alias("row")).groupBy("part").agg(F.concat(F.lit("["), F.array_join(F.collect_list("row"), ","), F.lit("]")).alias("value"))
+    arrays.write.partitionBy("part").text(path)
+    back = files.read_results(spark, path)
+    return back.select("id", "method", "url", "body", U.header_value(F.col("headers"), "Content-Type").alias("content_type"), F.col("response.status_code").alias("status_code"))
+
+
+@query("jsonl_source", "SELECT concat('2026-01-', CAST(page_id % 28 + 1 AS VARCHAR)) AS stamp, 'GET' AS method, url AS endpoint, CAST(200 AS INT) AS status_code FROM pages WHERE page_id % 9 <> 0")
+def jsonl_source(spark, d):
+    """Discovery results as JSON lines; every ninth line is cut short and so left out."""
+    path = _at(spark, "lines")
+    shape = F.struct(F.concat(F.lit("2026-01-"), (F.col("page_id") % 28 + 1).cast("string")).alias("timestamp"), F.struct(F.lit("GET").alias("method"), F.col("url").alias("endpoint")).alias("request"), F.struct(F.lit(200).alias("status_code")).alias("response"))
+    line = F.to_json(shape)
+    pages = spread(spark.read.parquet(f"{d}/pages.parquet"))
+    files.write_lines(pages.select(F.when(F.col("page_id") % 9 == 0, F.substring(line, 1, 20)).otherwise(line).alias("line")), "line", path)
+    return files.read_jsonl(spark, path).select(F.col("timestamp").alias("stamp"), "request.method", "request.endpoint", "response.status_code")
+
+
+@query("jsonl_sink", "SELECT id, classification, origin FROM c", *O.C)
+def jsonl_sink(spark, d):
+    path = _at(spark, "sink")
+    files.write_jsonl(obs(spark, d).select("id", F.when(C.blocked(), "UNKNOWN").otherwise(C.classify()).alias("classification"), "origin"), path)
+    return files.read_jsonl(spark, path, "classification string, id string, origin string").select("id", "classification", "origin")
+
+
+@query("csv_sink", "SELECT method, source_type, CAST(count(*) AS VARCHAR) AS total FROM obs GROUP BY method, source_type", *O.V)
+def csv_sink(spark, d):
+    path = _at(spark, "csv")
+    files.write_csv(method_source_counts(spark, d), path)
+    return spark.read.option("header", True).csv(path)
+
+
+@query("url_list_source", "SELECT DISTINCT trim(url) AS url FROM links WHERE trim(url) <> ''", LINKS)
+def url_list_source(spark, d):
+    path = _at(spark, "urls")
+    files.write_lines(bridge.page_links(spark, d).select("url").distinct(), "url", path)
+    return files.read_urls(spark, path)
+
+
+@query("session_state_source", "SELECT source, kind, count(*) AS tokens, count(DISTINCT value) AS distinct_values FROM (SELECT 'cookie' AS source, 'csrf' AS kind, concat('v', CAST(user_id AS VARCHAR)) AS value FROM events WHERE event_type = 'signup' UNION ALL SELECT 'localStorage', 'jwt', concat('eyJ', CAST(event_id AS VARCHAR), '.b.c') FROM events WHERE event_type = 'signup' UNION ALL SELECT 'sessionStorage', 'token', 'x' FROM events WHERE event_type = 'signup') GROUP BY source, kind")
+def session_state_source(spark, d):
+    """Session states as JSON; the values of their tokens are counted and never shown."""
+    path, text = _at(spark, "sessions"), lambda c: F.col(c).cast("string")
+    pair = lambda n, v: F.array(F.struct(F.lit(n).alias("name"), v.alias("value")))
+    stored = F.array(F.struct(F.lit("https://app.example.test").alias("origin"), pair("id", F.concat(F.lit("eyJ"), text("event_id"), F.lit(".b.c"))).alias("localStorage"), pair("Token", F.lit("x")).alias("sessionStorage")))
+    state = F.struct(text("event_id").alias("id"), pair("XSRF", F.concat(F.lit("v"), text("user_id"))).alias("cookies"), stored.alias("origins"))
+    signups = spread(spark.read.parquet(f"{d}/events.parquet")).where("event_type = 'signup'")
+    files.write_lines(signups.select(F.to_json(state).alias("line")), "line", path)
+    rows = spark.read.schema(files.SESSION).json(path)
+    return sessions.token_counts(sessions.flatten_state(rows))
