@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, as_documents, settle
+from .common import BROADCAST_BYTES, as_documents, forget, read, settle
 from .words import _splitmix, mix, text_chunks, windows, word_hashes, word_spans
 
 SIZE = 20
@@ -87,7 +87,7 @@ def _check(h: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
 
 
 def _shared_windows(size: int, shared):
-    """First occurrences in their document of windows whose anchor is shared.  ``key`` tells rows of one id apart."""
+    """First occurrences in their document of windows whose anchor is shared.  ``key`` tells rows of one id apart, if any are."""
 
     def run(batches):
         for batch in batches:
@@ -193,7 +193,10 @@ def substring_dedup(docs: DataFrame, size: int = SIZE, with_text: bool = False,
     """One row for each row of ``docs`` (doc_id, text): doc_id, n_words, n_removed, kept_sha256 (of the kept words joined by one
     space), and kept_text if asked for."""
     spark = docs.sparkSession
-    docs = as_documents(docs, {"doc_id": "long", "text": "string"}).withColumn("key", F.xxhash64("text"))
+    docs = as_documents(docs, {"doc_id": "long", "text": "string"})
+    ids = docs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    # one number for all costs nothing where every id is one row's
+    docs = docs.withColumn("key", F.xxhash64("text") if ids.limit(1).count() else F.lit(0).cast("long"))
     named = docs.where("doc_id IS NOT NULL")
     often = named.select("doc_id", "text").mapInArrow(_anchors(size), "anchor long").groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")
     often = settle(often, "anchors")
@@ -210,6 +213,7 @@ def substring_dedup(docs: DataFrame, size: int = SIZE, with_text: bool = False,
     later = found.join(first, ["w", "x"]).where("doc_id > first")
     spans = later.groupBy("doc_id", "key").agg(F.sort_array(F.collect_set("pos")).alias("pos")).mapInArrow(_intervals(size), "doc_id long, key long, begins array<int>, ends array<int>")
     spans = settle(spans, "spans")
+    forget(often, found)
     total = spans.agg(F.sum(F.size("begins") * 8 + 24)).first()[0] or 0
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text
     if total <= broadcast_bytes:
@@ -217,6 +221,7 @@ def substring_dedup(docs: DataFrame, size: int = SIZE, with_text: bool = False,
         lists = table.column("begins").combine_chunks()
         flat = [table.column(c).combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.int64) for c in ("begins", "ends")]
         first_of = np.r_[0, np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))].astype(np.int64)
+        forget(spans)
         held = spark.sparkContext.broadcast((table.column("doc_id").to_numpy(), table.column("key").to_numpy(), first_of, *flat))
         return docs.mapInArrow(_removal(size, held, with_text), schema)
     return docs.join(spans, ["doc_id", "key"], "left").select("doc_id", "text", "key", "begins", "ends").mapInArrow(_removal(size, None, with_text), schema)
@@ -309,7 +314,7 @@ def matching_spans(docs: DataFrame, reference: list[str], size: int = SIZE, shar
 
 
 def op8_substring_dedup(spark, sf_dir: str) -> DataFrame:
-    return substring_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return substring_dedup(read(spark, sf_dir, "documents"))
 
 
 SQL = r"""
