@@ -62,7 +62,7 @@ def _posteriors(model, path: str):
         enc = worker_encoder(path)
         for batch in batches:
             for lo, hi, buf, off in text_chunks(batch.column(1)):
-                n_tokens = enc.encode(buf, off)[1]
+                n_tokens = enc.count(buf, off)
                 p = np.zeros((hi - lo, len(DOMAINS)))
                 p[:, 0] = 1
                 if model is not None:

@@ -101,8 +101,8 @@ class WordEncoder:
         at = np.searchsorted(self.keys, keys)  # both are sorted
         self.keys, self.first, self.size = np.insert(self.keys, at, keys), np.insert(self.first, at, first), np.insert(self.size, at, size)
 
-    def encode(self, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """All ids of a chunk's documents in turn, and how many each has."""
+    def _look_up(self, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where the table has each distinct word of a chunk, which of them each word is, and words per document."""
         starts, ends, counts = word_spans(buf, off)
         uniq, at, back = np.unique(word_hashes(buf, starts, ends, lower=True), return_index=True, return_inverse=True)
         if len(self.keys) > self.most:
@@ -115,6 +115,16 @@ class WordEncoder:
             data = buf.tobytes()
             self._learn(uniq[~known], [data[a:b] for a, b in zip(starts[at[~known]].tolist(), ends[at[~known]].tolist(), strict=True)])
             spot = np.searchsorted(self.keys, uniq)
+        return spot, back, counts
+
+    def count(self, buf: np.ndarray, off: np.ndarray) -> np.ndarray:
+        """How many ids each document of a chunk has."""
+        spot, back, counts = self._look_up(buf, off)
+        return np.diff(np.r_[0, np.cumsum(self.size[spot][back])][np.r_[0, np.cumsum(counts)]])
+
+    def encode(self, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of a chunk's documents in turn, and how many each has."""
+        spot, back, counts = self._look_up(buf, off)
         size = self.size[spot][back]
         begin = np.cumsum(size) - size
         ids = self.flat[np.repeat(self.first[spot][back] - begin, size) + np.arange(int(size.sum()))]
