@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, as_documents, parts, read, semi, settle
+from .common import SPACE, as_documents, forget, parts, read, semi, settle
 from .quotient import CountingQuotientFilter
 
 
@@ -79,7 +79,9 @@ def exact_dedup(docs: DataFrame, block_rows: int = 1 << 20) -> DataFrame:
         .where("group_size > 1")
         .select("sha", "group_size", F.col("best.doc_id").alias("keep_id"))
     )
-    out = base.join(settle(groups.withColumn("found", F.lit(True)), "groups"), "sha", "left")
+    groups = settle(groups.withColumn("found", F.lit(True)), "groups")
+    forget(twice)
+    out = base.join(groups, "sha", "left")
     keep = F.when(F.col("found"), F.col("keep_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", keep.alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), keep.eqNullSafe(F.col("doc_id")).alias("kept"), F.col("sha").alias("text_sha256"))
 

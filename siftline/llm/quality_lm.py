@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_documents, semi, settle
+from .common import BROADCAST_BYTES, as_documents, forget, semi, settle
 from .packing import vocabulary_path, worker_encoder
 from .words import text_chunks
 
@@ -184,6 +184,7 @@ class KneserNey:
         self.backoff[c.column("v").to_numpy()] = c.column("g").to_numpy()
         self.unigram = np.full(size + 1, whole["left"] / whole["t"] / size)
         self.unigram[f.column("w").to_numpy()] += f.column("m").to_numpy() / whole["t"]
+        forget(context, follow)
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:
@@ -209,13 +210,16 @@ def perplexities(docs: DataFrame, trusted: DataFrame, n_trusted: int, path: str
     if not counts.limit(1).count():
         return None
     model = KneserNey(counts, size)
+    forget(counts)
     asked = text.mapInArrow(_asked(path, size), "block long, v int, w int")
     found = asked.join(model.table, ["v", "w"], "left").select("block", F.struct("v", "w", F.coalesce("p", F.lit(0.0)).alias("p")).alias("a"))
     answers = found.groupBy("block").agg(F.collect_list("a").alias("answers"))
     packed = text.mapInArrow(_packed(path), "block long, doc_id array<long>, lang array<string>, n array<int>, width int, ids binary")
     tables = spark.sparkContext.broadcast((model.backoff, model.unigram))
     out = packed.join(answers, "block", "left").select("doc_id", "lang", "n", "width", "ids", "answers").mapInArrow(_scored(tables, size), "doc_id long, lang string, n_tokens long, log_p double")
-    return out.select("doc_id", "lang", "n_tokens", F.when(F.col("n_tokens") > 0, F.exp(-F.col("log_p") / F.col("n_tokens"))).alias("perplexity"))
+    out = out.select("doc_id", "lang", "n_tokens", F.when(F.col("n_tokens") > 0, F.exp(-F.col("log_p") / F.col("n_tokens"))).alias("perplexity"))
+    out.reads = model.table  # until the result is written
+    return out
 
 
 def quality_lm(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, path: str | None = None) -> DataFrame:
@@ -226,15 +230,15 @@ def quality_lm(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, p
     if scored is None:
         some = F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
         return docs.select("doc_id", "lang", F.lit(None).cast("long").alias("n_tokens"), F.lit(None).cast("double").alias("perplexity"), F.lit(None).cast("double").alias("threshold"), some.alias("kept"))
-    scored = settle(scored, "scored")
+    model, scored = scored.reads, settle(scored, "scored")
+    forget(model)
     apart = scored.join(trusted.where(left_out()), "doc_id", "left_semi").where("perplexity IS NOT NULL")
     cut = lambda: F.percentile_approx("perplexity", quantile, 100_000).alias("threshold")
-    limits = {r["lang"]: r["threshold"] for r in apart.groupBy("lang").agg(cut()).collect()}  # a row a language
+    limits = settle(apart.groupBy(F.col("lang").alias("of")).agg(cut()), "limits")
     whole = apart.agg(cut()).first()["threshold"]
-    table = F.lit(whole).cast("double")
-    for lang, value in limits.items():
-        table = F.when(F.col("lang").eqNullSafe(F.lit(lang)), F.lit(float(value))).otherwise(table)
-    out = scored.withColumn("threshold", table)
+    forget(trusted)
+    limits = F.broadcast(limits) if limits.count() * 64 <= BROADCAST_BYTES else limits
+    out = scored.join(limits, F.col("lang").eqNullSafe(F.col("of")), "left").drop("of").withColumn("threshold", F.coalesce("threshold", F.lit(whole).cast("double")))
     return out.withColumn("kept", F.coalesce(F.col("perplexity") <= F.coalesce("threshold", F.lit(float("inf"))), F.lit(False)))
 
 

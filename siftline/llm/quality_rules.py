@@ -18,7 +18,7 @@ import warnings
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, as_documents, read, settle
+from .common import SPACE, as_documents, forget, read, settle
 
 WINDOW = 8
 SYMBOLS = "#*$%&|<>"
@@ -156,6 +156,7 @@ def quality_rules(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     names = [f"vote_{n}" for n in votes]
     patterns = settle(voted.groupBy(*names).agg(F.count(F.lit(1)).alias("n")), "patterns")
     p = posterior(estimate(patterns, names))
+    forget(patterns)
     return voted.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         base_failed().alias("base_failed"), (~base_failed() & (p >= threshold)).alias("kept"), p.alias("p_good"),

@@ -61,6 +61,13 @@ def test_same_as_duckdb(spark, duck, small, name):
     assert show([tuple(r) for r in got.collect()], got.columns) == show(want.fetchall(), columns)
 
 
+def test_operators_change_no_setting(spark, docs):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+    packing.pack_documents(docs).count()
+    substring_dedup.substring_dedup(docs).count()
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000"
+
+
 # -- 1 quality rules
 
 
@@ -260,6 +267,15 @@ def test_near_dedup_star_and_chain(spark):
     assert {r["doc_id"]: r["component_id"] for r in got.collect()} == up
 
 
+def test_components_of_a_hub_and_a_chain(spark):
+    """A vertex with most of the links, and a path that is far longer than the rounds."""
+    from siftline.llm.components import components
+
+    links = [(5000 + i, 7) for i in range(3000)] + [(100 + i, 101 + i) for i in range(200)] + [(5000, 9000)]
+    got = {r["id"]: r["component"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == {**{100 + i: 100 for i in range(201)}, **{5000 + i: 7 for i in range(3000)}, 7: 7, 9000: 7}
+
+
 # -- 4 exact dedup
 
 
