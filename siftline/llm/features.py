@@ -13,15 +13,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import as_documents, settle
-from .words import text_chunks, word_hashes, word_spans
+from .words import mix, text_chunks, word_hashes, word_spans
 
 SAMPLE, VOCABULARY, LEAST = 20_000, 2048, 5
 STYLES = 6
 _CLASSES = (b"#*$%&|<>", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"!", b".,;:?")
 
 
-def _word_rows(buf: np.ndarray, off: np.ndarray):
-    starts, ends, counts = word_spans(buf, off)
+def _word_rows(buf: np.ndarray, off: np.ndarray, spans=None):
+    starts, ends, counts = spans or word_spans(buf, off)
     # closing punctuation is no part of a word here
     cut = ends.copy()
     mark = np.zeros(256, bool)
@@ -31,25 +31,37 @@ def _word_rows(buf: np.ndarray, off: np.ndarray):
     return word_hashes(buf, starts, cut, lower=True), np.repeat(np.arange(len(counts)), counts), counts
 
 
+def _firsts(h: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """Where each distinct word of a document comes first."""
+    return np.unique(mix(h + owner.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), return_index=True)[1]
+
+
+def _marks() -> np.ndarray:
+    """Which bytes are in which class; a byte may be in several."""
+    kinds = np.zeros((len(_CLASSES), 256), bool)
+    for k, chars in enumerate(_CLASSES):
+        kinds[k, list(chars)] = True
+    return kinds
+
+
 def _styles(buf: np.ndarray, off: np.ndarray, owner: np.ndarray, h: np.ndarray, counts: np.ndarray) -> np.ndarray:
     n = len(counts)
     out = np.zeros((n, STYLES))
     words, size = np.maximum(counts, 1), np.maximum(np.diff(off), 1)
-    for k, chars in enumerate(_CLASSES):
-        hit = np.zeros(256, bool)
-        hit[list(chars)] = True
+    kinds = _marks()
+    at = np.flatnonzero(kinds.any(0)[buf])
+    byte, doc = buf[at], np.searchsorted(off, at, "right") - 1
+    for k in range(len(_CLASSES)):
         # of words for marks, of bytes for capitals
-        out[:, k] = np.diff(np.r_[0, np.cumsum(hit[buf])][off]) / (size if k == 1 else words)
-    order = np.lexsort((h, owner))
-    new = np.r_[True, (h[order][1:] != h[order][:-1]) | (owner[order][1:] != owner[order][:-1])] if len(h) else np.zeros(0, bool)
-    out[:, 4] = np.bincount(owner[order][new], minlength=n) / words
+        out[:, k] = np.bincount(doc[kinds[k][byte]], minlength=n) / (size if k == 1 else words)
+    out[:, 4] = np.bincount(owner[_firsts(h, owner)], minlength=n) / words
     out[:, 5] = 1 / (1 + words / 20)
     return np.minimum(out, 3.0)
 
 
-def sparse(buf: np.ndarray, off: np.ndarray, vocab: np.ndarray):
+def sparse(buf: np.ndarray, off: np.ndarray, vocab: np.ndarray, spans=None):
     """(rows, columns, values) of a chunk's documents, and their word counts.  Columns from len(vocab) on are the styles."""
-    h, owner, counts = _word_rows(buf, off)
+    h, owner, counts = _word_rows(buf, off, spans)
     n = len(counts)
     at = np.minimum(np.searchsorted(vocab, h), max(0, len(vocab) - 1))
     hit = vocab[at] == h if len(vocab) else np.zeros(len(h), bool)
@@ -68,9 +80,8 @@ def _document_words():
             label = batch.column(1).to_numpy()
             for lo, hi, buf, off in text_chunks(batch.column(0)):
                 h, owner, _ = _word_rows(buf, off)
-                order = np.lexsort((h, owner))
-                new = np.r_[True, (h[order][1:] != h[order][:-1]) | (owner[order][1:] != owner[order][:-1])] if len(h) else np.zeros(0, bool)
-                words, tags = h[order][new], label[lo:hi][owner[order][new]]
+                first = _firsts(h, owner)
+                words, tags = h[first], label[lo:hi][owner[first]]
                 for tag in np.unique(tags):
                     w, n = np.unique(words[tags == tag], return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array(w.view(np.int64)), pa.array(np.full(len(w), tag, np.int32)), pa.array(n)], ["word", "label", "n"])

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import as_documents, forget, read, settle
 from .features import SAMPLE, STYLES, Adam, choose_vocabulary, labelled_sample, sample_matrix, sparse
 from .packing import vocabulary_path, worker_encoder
-from .words import text_chunks
+from .words import text_chunks, word_spans
 
 DOMAINS = ("clean", "low_quality", "toxic")
 #: Shares of the mix, and its size as a multiple of the expected clean tokens.
@@ -62,12 +62,13 @@ def _posteriors(model, path: str):
         enc = worker_encoder(path)
         for batch in batches:
             for lo, hi, buf, off in text_chunks(batch.column(1)):
-                n_tokens = enc.count(buf, off)
+                spans = word_spans(buf, off)
+                n_tokens = enc.count(buf, off, spans)
                 p = np.zeros((hi - lo, len(DOMAINS)))
                 p[:, 0] = 1
                 if model is not None:
                     vocab, w = model.value
-                    rows, cols, vals, counts = sparse(buf, off, vocab)
+                    rows, cols, vals, counts = sparse(buf, off, vocab, spans)
                     s = np.stack([np.bincount(rows, vals * w[cols, k], minlength=hi - lo) for k in range(w.shape[1])], 1)
                     s = s * (counts > 0)[:, None] + w[-1]
                     p = np.exp(s - s.max(1, keepdims=True))

@@ -101,9 +101,9 @@ class WordEncoder:
         at = np.searchsorted(self.keys, keys)  # both are sorted
         self.keys, self.first, self.size = np.insert(self.keys, at, keys), np.insert(self.first, at, first), np.insert(self.size, at, size)
 
-    def _look_up(self, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def _look_up(self, buf: np.ndarray, off: np.ndarray, spans=None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Where the table has each distinct word of a chunk, which of them each word is, and words per document."""
-        starts, ends, counts = word_spans(buf, off)
+        starts, ends, counts = spans or word_spans(buf, off)
         uniq, at, back = np.unique(word_hashes(buf, starts, ends, lower=True), return_index=True, return_inverse=True)
         if len(self.keys) > self.most:
             self._empty()
@@ -117,9 +117,9 @@ class WordEncoder:
             spot = np.searchsorted(self.keys, uniq)
         return spot, back, counts
 
-    def count(self, buf: np.ndarray, off: np.ndarray) -> np.ndarray:
+    def count(self, buf: np.ndarray, off: np.ndarray, spans=None) -> np.ndarray:
         """How many ids each document of a chunk has."""
-        spot, back, counts = self._look_up(buf, off)
+        spot, back, counts = self._look_up(buf, off, spans)
         return np.diff(np.r_[0, np.cumsum(self.size[spot][back])][np.r_[0, np.cumsum(counts)]])
 
     def encode(self, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
