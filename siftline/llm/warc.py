@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, as_documents, drop_path, read, settle, work_path
+from .common import BROADCAST_BYTES, as_documents, drop_path, forget, read, settle, work_path
 
 CRLF = "\r\n"
 #: Most bytes of a file before compression, and the size up to which records are of the smallest order.
@@ -62,16 +62,21 @@ def record_text(kind: Column, date: str) -> Column:
     )
 
 
-def write_archives(records: DataFrame, path: str, kind: Column, date: str, compression: str = "gzip", file_bytes: int = FILE_BYTES) -> None:
+def _write(records: DataFrame, path: str, order: int, kind: Column, date: str, compression: str, file_bytes: int) -> None:
+    most = max(1, int(file_bytes // (SMALLEST * 8**order)))
+    records.select(record_text(kind, date).alias("value")).write.option("lineSep", CRLF * 2).option("compression", compression).option("maxRecordsPerFile", most).text(f"{path}/size-{order}")
+
+
+def write_archives(records: DataFrame, path: str, kind: Column, date: str, compression: str = "gzip", file_bytes: int = FILE_BYTES) -> list[int]:
     """Write ``records`` below ``path``.  Each file is read as a whole, so records of one order of size share files of at most
-    ``file_bytes`` (or of one larger record), in a folder an order of size: at most a scan for each order that occurs."""
+    ``file_bytes`` (or of one larger record), in a folder an order of size: a scan for each order that occurs.  Returns the
+    orders."""
     order = F.greatest(F.ceil(F.log(8.0, (F.col("payload_bytes") + 2 * F.octet_length("uri") + 1024) / SMALLEST)), F.lit(0)).cast("int")
     held = records.where(F.col("payload_bytes").isNotNull())
-    found = [r[0] for r in held.select(order.alias("o")).distinct().collect()]  # a dozen at most
-    for o in sorted(found) or [0]:
-        text = held.where(order == o).select(record_text(kind, date).alias("value"))
-        most = max(1, int(file_bytes // (SMALLEST * 8**o)))
-        text.write.option("lineSep", CRLF * 2).option("compression", compression).option("maxRecordsPerFile", most).text(f"{path}/size-{o}")
+    orders = sorted(r[0] for r in held.select(order.alias("o")).distinct().collect()) or [0]  # a dozen at most
+    for o in orders:
+        _write(held.where(order == o), path, o, kind, date, compression, file_bytes)
+    return orders
 
 
 def pages_to_records(pages: DataFrame) -> DataFrame:
@@ -156,8 +161,8 @@ def read_archives(spark, path: str, with_payload: bool = False) -> DataFrame:
     return files.mapInArrow(_parsed(with_payload), PARSED)
 
 
-def resolve_revisits(spark, source: str, target: str, date: str, least: int = 1000) -> None:
-    """Read the archives at ``source`` and write deduplicated ones to ``target``."""
+def resolve_revisits(spark, source: str, target: str, orders: list[int], date: str, least: int = 1000, compression: str = "gzip", file_bytes: int = FILE_BYTES) -> None:
+    """Read the archives at ``source`` and write deduplicated ones to ``target``; ``orders`` of size have a folder each in both."""
     heads = settle(read_archives(spark, source).drop("payload"), "heads")
     same = ["digest", "sha256", "payload_bytes"]
     groups = heads.where(F.col("payload_bytes") >= least).groupBy(*same).agg(
@@ -165,11 +170,13 @@ def resolve_revisits(spark, source: str, target: str, date: str, least: int = 10
     ).where("n > 1")
     revisits = heads.join(groups, same).where(~F.col("page_id").eqNullSafe(F.col("top.page_id")))
     revisits = settle(revisits.select("record_id", F.col("top.record_id").alias("target_record"), F.col("top.uri").alias("target_uri")).distinct(), "revisits")
-    full = read_archives(spark, source, with_payload=True).drop("refers_record")
     small = revisits.count() * 512 <= BROADCAST_BYTES
-    full = full.join(F.broadcast(revisits) if small else revisits, "record_id", "left")
-    full = full.withColumns({"record_id": fresh_id(F.col("record_id")), "target_record": fresh_id(F.col("target_record"))})
-    write_archives(full, target, F.when(F.col("target_record").isNotNull(), "revisit").otherwise("response"), date)
+    for o in orders:
+        full = read_archives(spark, f"{source}/size-{o}", with_payload=True).drop("refers_record")
+        full = full.join(F.broadcast(revisits) if small else revisits, "record_id", "left")
+        full = full.withColumns({"record_id": fresh_id(F.col("record_id")), "target_record": fresh_id(F.col("target_record"))})
+        _write(full, target, o, F.when(F.col("target_record").isNotNull(), "revisit").otherwise("response"), date, compression, file_bytes)
+    forget(heads, revisits)
 
 
 def dedup_pages(pages: DataFrame, least: int = 1000, date: str | None = None) -> tuple[DataFrame, str]:
@@ -178,8 +185,8 @@ def dedup_pages(pages: DataFrame, least: int = 1000, date: str | None = None) ->
     spark = pages.sparkSession
     date = date or datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
     raw, clean = work_path(spark, "warc-raw"), work_path(spark, "warc")
-    write_archives(pages_to_records(pages), raw, F.lit("response"), date)
-    resolve_revisits(spark, raw, clean, date, least)
+    orders = write_archives(pages_to_records(pages), raw, F.lit("response"), date)
+    resolve_revisits(spark, raw, clean, orders, date, least)
     back = settle(read_archives(spark, clean).drop("payload", "sha256"), "records")
     drop_path(spark, raw)
     original = back.where("record_type = 'response'").groupBy("record_id").agg(F.max("page_id").alias("refers_to")).withColumnRenamed("record_id", "refers_record")
