@@ -543,6 +543,16 @@ def test_warc(spark, tmp_path):
     assert warc.dedup_pages(pages.where("false"))[0].count() == 0
 
 
+def test_warc_files_are_bounded(spark, tmp_path):
+    """Small records by the thousand, some larger ones, and one that is larger than a file may be."""
+    cases = [(i, f"u{i}", "s" * 900) for i in range(300)] + [(1000 + i, "u", f"{i}" + "m" * 30_000) for i in range(20)] + [(2000, "u", "l" * 400_000)] * 2
+    records = warc.pages_to_records(spark.createDataFrame(cases, "page_id long, url string, html string").coalesce(1))
+    orders = warc.write_archives(records, str(tmp_path / "a"), F.lit("response"), "2026-01-01T00:00:00Z", compression="none", file_bytes=256 << 10)
+    sizes = {o: [p.stat().st_size for p in (tmp_path / f"a/size-{o}").glob("part-*")] for o in orders}
+    assert orders == [0, 1, 2] and max(sizes[0] + sizes[1]) <= 256 << 10 and len(sizes[2]) == 2 and max(sizes[2]) < 402_000
+    assert warc.read_archives(spark, str(tmp_path / "a")).count() == len(cases)
+
+
 # -- 10 mixing
 
 
