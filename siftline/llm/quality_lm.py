@@ -37,7 +37,7 @@ _HALF = np.uint64(32)
 
 
 def _blocks(batches, path: str, limit: int, column: int):
-    """Yield (row positions of the batches' documents, token ids, tokens per document) for runs of about ``limit`` tokens."""
+    """Yield (doc_id and lang of the documents, token ids, tokens per document) for runs of about ``limit`` tokens."""
     enc = worker_encoder(path)
     rows: list = []
     ids: list = []
@@ -46,7 +46,7 @@ def _blocks(batches, path: str, limit: int, column: int):
     for batch in batches:
         for lo, hi, buf, off in text_chunks(batch.column(column)):
             got, n = enc.encode(buf, off)
-            rows.append(batch.slice(lo, hi - lo))
+            rows.append(batch.select([0, 2]).slice(lo, hi - lo))  # not the text
             ids.append(got.astype(np.uint16) if path_fits(got) else got)
             counts.append(n)
             size += len(got)
@@ -83,8 +83,8 @@ def _counted(path: str, start: int):
 def _block_name(rows: list, ids: np.ndarray, counts: np.ndarray) -> int:
     """A block is named by what is in it: two runs that cut the input differently have no name in common, and so can never
     take each other's answers."""
-    h = hashlib.blake2b(ids.tobytes(), digest_size=8)
-    h.update(counts.tobytes())
+    h = hashlib.blake2b(np.ascontiguousarray(ids), digest_size=8)
+    h.update(np.ascontiguousarray(counts))
     h.update(str(rows[0].column(0)[0].as_py()).encode())
     return int.from_bytes(h.digest(), "little", signed=True)
 
@@ -104,7 +104,7 @@ def _packed(path: str):
         import zstandard
 
         for rows, ids, counts in _blocks(batches, path, BLOCK, 1):
-            table = pa.Table.from_batches(rows).select([0, 2]).combine_chunks()
+            table = pa.Table.from_batches(rows).combine_chunks()
             blob = zstandard.ZstdCompressor(level=9).compress(ids.astype("<u4" if ids.dtype != np.uint16 else "<u2").tobytes())
             one = lambda c: pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), c)
             yield pa.RecordBatch.from_arrays(
