@@ -320,7 +320,9 @@ def policy_graphql_rules(spark, d):
 
 @query("graphql_candidates", "SELECT id, url FROM c WHERE classification = 'GRAPHQL'", *O.C)
 def graphql_candidates(spark, d):
-    return obs(spark, d).where(~C.blocked() & (C.classify() == "GRAPHQL")).select("id", "url")
+    # a generated column: a test of the class itself would be pushed down with all its parts written out, each worked out anew
+    rows = obs(spark, d).where(~C.blocked()).select("id", "url", F.explode(F.array(C.classify())).alias("classification"))
+    return rows.where("classification = 'GRAPHQL'").select("id", "url")
 
 
 @query("trust_class", "SELECT id, CASE WHEN source_type = 'cdp_observed' AND lifecycle_state = 'completed' AND cdp_request_id <> '' THEN 'CONFIRMED_BROWSER_REQUEST' ELSE 'DISCOVERED_CANDIDATE' END AS trust_class FROM obs", *O.V)
@@ -402,8 +404,12 @@ def rebuild_affected(spark, d):
 def orphan_check(spark, d):
     """Children without a group; they are counted by key first, so that the anti join has a row a key."""
     a = analyzed(spark, d)
-    children = inventory.captured(a).groupBy("inventory_id").agg(F.count(F.lit(1)).alias("observations"), F.sum(F.size("parameters")).alias("parameters"))
-    lost = children.join(inventory.inventory(a).select("inventory_id"), "inventory_id", "left_anti")
+    rows = inventory.captured(a).select("inventory_id", F.posexplode_outer("parameters").alias("ord", "x"))
+    children = rows.groupBy("inventory_id").agg(F.count_if(F.coalesce("ord", F.lit(0)) == 0).alias("observations"), F.count("ord").alias("parameters"))
+    # a null-safe outer join: an anti join, and the test for null of a plain one, would be pushed down to the requests and
+    # work the whole key out once more
+    keys = inventory.inventory(a).select(F.col("inventory_id").alias("key"), F.lit(True).alias("there"))
+    lost = children.join(keys, F.col("inventory_id").eqNullSafe(F.col("key")), "left").where("there IS NULL")
     sums = lost.agg(*(F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c) for c in ("observations", "parameters")))
     return sums.unpivot([], ["observations", "parameters"], "child", "orphans")
 
