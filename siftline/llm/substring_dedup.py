@@ -95,24 +95,47 @@ def _shared_windows(size: int, shared):
             for lo, hi, buf, off in text_chunks(batch.column(1)):
                 _, _, _, h, w, anchor, at, per = _windows(buf, off, size)
                 owner = np.repeat(np.arange(len(per)), per)
-                if shared is not None and len(w):
+                if len(w):
                     short = (anchor >> np.uint64(32)).astype(np.uint32)
                     k = np.minimum(np.searchsorted(shared.value, short), max(0, len(shared.value) - 1))
                     keep = np.flatnonzero(shared.value[k] == short) if len(shared.value) else np.zeros(0, np.int64)
                 else:
-                    keep = np.arange(len(w))
+                    keep = np.zeros(0, np.int64)
                 keep = keep[_distinct(owner[keep], w[keep])]
                 first = np.cumsum(per) - per
                 pos = keep - first[owner[keep]]
                 of = pa.array(owner[keep])
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(lo, hi - lo).take(of), keys.slice(lo, hi - lo).take(of), pa.array(w[keep].view(np.int64)), pa.array(_check(h, at[keep], size)), pa.array(pos.astype(np.int32)), pa.array(anchor[keep].view(np.int64))],
-                    ["doc_id", "key", "w", "x", "pos", "anchor"],
+                    [ids.slice(lo, hi - lo).take(of), keys.slice(lo, hi - lo).take(of), pa.array(w[keep].view(np.int64)), pa.array(_check(h, at[keep], size)), pa.array(pos.astype(np.int32))],
+                    ["doc_id", "key", "w", "x", "pos"],
                 )
 
     return run
 
 
+def _window_runs(size: int):
+    """The same of all windows, a row a run of neighbours with one anchor: what is to be joined by anchor travels once a run."""
+
+    def run(batches):
+        for batch in batches:
+            ids, keys = batch.column(0), batch.column(2)
+            for lo, hi, buf, off in text_chunks(batch.column(1)):
+                _, _, _, h, w, anchor, at, per = _windows(buf, off, size)
+                owner = np.repeat(np.arange(len(per)), per)
+                keep = _distinct(owner, w)
+                if len(keep):
+                    new = np.r_[True, (anchor[keep[1:]] != anchor[keep[:-1]]) | (owner[keep[1:]] != owner[keep[:-1]]) | (keep[1:] != keep[:-1] + 1)]
+                else:
+                    new = np.zeros(0, bool)
+                top = keep[new]
+                of, cut = pa.array(owner[top]), pa.array(np.r_[np.flatnonzero(new), len(keep)].astype(np.int32))
+                pos = top - (np.cumsum(per) - per)[owner[top]]
+                lists = [pa.ListArray.from_arrays(cut, x) for x in (pa.array(w[keep].view(np.int64)), pa.array(_check(h, at[keep], size)))]
+                yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo).take(of), keys.slice(lo, hi - lo).take(of), pa.array(anchor[top].view(np.int64)), pa.array(pos.astype(np.int32)), *lists], ["doc_id", "key", "anchor", "pos", "w", "x"])
+
+    return run
+
+
 def _intervals(size: int):
     """Sorted window starts of each document, as the word intervals that they cover."""
 
@@ -200,14 +223,15 @@ def substring_dedup(docs: DataFrame, size: int = SIZE, with_text: bool = False,
     named = docs.where("doc_id IS NOT NULL")
     often = named.select("doc_id", "text").mapInArrow(_anchors(size), "anchor long").groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")
     often = settle(often, "anchors")
-    row = "doc_id long, key long, w long, x int, pos int, anchor long"
     if often.count() * 4 <= broadcast_bytes:
         # half a hash is enough: one that fits by chance only makes more candidates
         top = often.select(F.shiftrightunsigned("anchor", 32).alias("a")).toArrow().column("a").to_numpy()
         shared = spark.sparkContext.broadcast(np.unique(top.astype(np.uint32)))
-        found = named.mapInArrow(_shared_windows(size, shared), row).drop("anchor")
+        found = named.mapInArrow(_shared_windows(size, shared), "doc_id long, key long, w long, x int, pos int")
     else:
-        found = named.mapInArrow(_shared_windows(size, None), row).join(often, "anchor", "left_semi").drop("anchor")
+        runs = named.mapInArrow(_window_runs(size), "doc_id long, key long, anchor long, pos int, w array<long>, x array<int>").join(often, "anchor", "left_semi")
+        each = runs.select("doc_id", "key", "pos", F.posexplode(F.arrays_zip("w", "x")).alias("k", "e"))
+        found = each.select("doc_id", "key", "e.w", "e.x", (F.col("pos") + F.col("k")).cast("int").alias("pos"))
     found = settle(found, "windows")
     first = found.groupBy("w", "x").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("w", "x", "first")
     later = found.join(first, ["w", "x"]).where("doc_id > first")
