@@ -7,12 +7,13 @@ only if they are themselves rejected.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftline.llm.common import BROADCAST_BYTES, forget, parts, settle
+from siftline.llm.common import BROADCAST_BYTES, forget, parts, settle, small_batches
 from siftline.llm.exact_dedup import exact_dedup
 from siftline.llm.mixing import mix
 from siftline.llm.near_dedup import near_dedup
@@ -73,7 +74,18 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pack_documents(docs).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
-STAGES = [("quality_rules", quality), ("exact_dedup", exact), ("near_dedup", near), ("mixing", mixing), ("packing", packing)]
+def _stage(f):
+    """``f`` with Arrow batches bounded in the session that it is given, as in the registered queries."""
+
+    @functools.wraps(f)
+    def run(spark, docs, sf_dir):
+        small_batches(spark)
+        return f(spark, docs, sf_dir)
+
+    return run
+
+
+STAGES = [(name, _stage(f)) for name, f in (("quality_rules", quality), ("exact_dedup", exact), ("near_dedup", near), ("mixing", mixing), ("packing", packing))]
 #: Rates come from a fitted classifier and places from a search, which SQL can't express; tests hold the stages against brute force.
 ORACLE_SQL = None
 

@@ -646,6 +646,25 @@ def test_pipeline_stages(spark, small):
         rows = out
 
 
+def test_pipeline_stages_bound_batches(spark, small):
+    """Each stage by itself bounds the Arrow batches of a session with Spark's defaults, and leaves other values alone."""
+    rows = spark.read.parquet(f"{small}/documents.parquet")
+    rows_key, bytes_key = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = {k: spark.conf.get(k) for k in (rows_key, bytes_key)}
+    try:
+        for _, stage in corpus_pipeline.STAGES:
+            spark.conf.unset(rows_key)
+            spark.conf.unset(bytes_key)
+            stage(spark, rows, small)
+            assert (spark.conf.get(rows_key), spark.conf.get(bytes_key)) == ("1000", "8m")
+        spark.conf.set(rows_key, "77")
+        corpus_pipeline.STAGES[0][1](spark, rows, small)
+        assert spark.conf.get(rows_key) == "77"
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def test_pipeline_edges(spark, docs, small):
     rows = docs
     for name, stage in corpus_pipeline.STAGES:
