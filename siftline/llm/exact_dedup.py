@@ -4,7 +4,8 @@ Texts are equal when identical after deleting space, tab, line feed, vertical ta
 return.  Each partition builds counting quotient filters of its documents' fingerprints (the first 64 bits of
 the SHA-256 of the normalised text), one a fingerprint range.  Filters of one range meet in a task and merge
 by their sorted remainders, which loses nothing.  Fingerprints counted more than once route their documents to
-verification, where texts are grouped by their normalised bytes, not by any hash.
+verification, where texts are grouped by their normalised bytes, not by any hash.  What is settled on the way goes to a
+file a core, or one a ``block_rows`` rows if those are more, and not to one a shuffle partition: each file has its cost.
 
 Edge cases: a null text counts as empty, and empty texts are equal to each other; a null id is never preferred
 while another is there; a very long text is compared whole; texts of equal length tie, and the smallest id stays; rows
@@ -51,12 +52,18 @@ def _merged(key, table):
     return pa.table({"fp": pa.array(fps[counts > 1].view(np.int64), pa.int64())})
 
 
+def _few(df: DataFrame, rows: int, block_rows: int) -> DataFrame:
+    """``df``, of at most ``rows`` short rows, dealt out evenly to as many files as it needs."""
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // block_rows)))
+
+
 def repeated_fingerprints(prints: DataFrame, block_rows: int = 1 << 20) -> DataFrame:
     """``fp`` values that occur more than once in the long column ``fp``, each once.  ``block_rows``: documents that one merge
     task covers; the number of ranges follows the table."""
-    blocks = max(parts(prints.sparkSession), -(-prints.count() // block_rows))
+    rows = prints.count()
+    blocks = max(parts(prints.sparkSession), -(-rows // block_rows))
     filters = prints.select("fp").mapInArrow(_filters(blocks), "block long, filter binary")
-    return filters.groupBy("block").applyInArrow(_merged, "fp long")
+    return _few(filters.groupBy("block").applyInArrow(_merged, "fp long"), rows, block_rows)
 
 
 def exact_dedup(docs: DataFrame, block_rows: int = 1 << 20) -> DataFrame:
@@ -71,7 +78,8 @@ def exact_dedup(docs: DataFrame, block_rows: int = 1 << 20) -> DataFrame:
     twice = settle(repeated_fingerprints(base, block_rows), "twice")
     # texts are read again, but only those of repeated fingerprints move
     again = docs.select("doc_id", normalised(F.col("text")).alias("norm"), F.char_length(F.coalesce("text", F.lit(""))).alias("n")).withColumn("sha", F.sha2(F.col("norm").cast("binary"), 256))
-    again = semi(again.withColumn("fp", F.conv(F.substring("sha", 1, 16), 16, -10).cast("long")), twice, "fp", twice.count())
+    n_twice = twice.count()
+    again = semi(again.withColumn("fp", F.conv(F.substring("sha", 1, 16), 16, -10).cast("long")), twice, "fp", n_twice)
     best = F.min(F.struct((-F.col("n")).alias("n"), F.col("doc_id").isNull().alias("none"), "doc_id"))
     groups = (
         again.groupBy("norm")
@@ -79,7 +87,7 @@ def exact_dedup(docs: DataFrame, block_rows: int = 1 << 20) -> DataFrame:
         .where("group_size > 1")
         .select("sha", "group_size", F.col("best.doc_id").alias("keep_id"))
     )
-    groups = settle(groups.withColumn("found", F.lit(True)), "groups")
+    groups = settle(_few(groups.withColumn("found", F.lit(True)), n_twice, block_rows), "groups")
     forget(twice)
     out = base.join(groups, "sha", "left")
     keep = F.when(F.col("found"), F.col("keep_id")).otherwise(F.col("doc_id"))

@@ -291,6 +291,30 @@ def test_exact_dedup(docs):
     assert exact_dedup.exact_dedup(empty(docs)).count() == 0
 
 
+def test_exact_dedup_settles_few_files(spark, monkeypatch):
+    """Short tables go to a file a core, however many partitions a shuffle has."""
+    files = {}
+
+    def counted(df, name="table"):
+        out = settle(df, name)
+        files[name] = len(out.inputFiles())
+        return out
+
+    monkeypatch.setattr(exact_dedup, "settle", counted)
+    held = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        rows = spark.createDataFrame([(i, f"text {i % 300}") for i in range(600)], "doc_id long, text string")
+        got = exact_dedup.exact_dedup(rows).where("group_size = 2 AND keep_id = doc_id % 300").count()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got == 600
+    assert max(files["twice"], files["groups"]) <= spark.sparkContext.defaultParallelism
+
+
 # -- 5 quality classifier
 
 
